@@ -187,10 +187,10 @@ def _fit(train: DataFrame, layer: int, sizes: dict[int, int], max_iter: int, c:
     return Probe(layer, classes, n_train, estimator.fit(train.withColumn("_index", index[F.col("label")])))
 
 
-def _run_all(tasks: Sequence, work, parallelism: int) -> list:
+def _run_all(spark: SparkSession, tasks: Sequence, work, parallelism: int) -> list:
     # Fits are independent jobs; a few at a time keep the cluster busy between the steps of each.
     with ThreadPool(min(parallelism, max(1, len(tasks)))) as pool:
-        return pool.map(inheritable_thread_target(work), tasks)
+        return pool.map(inheritable_thread_target(spark)(work), tasks)
 
 
 def out_of_fold(
@@ -230,7 +230,7 @@ def out_of_fold(
             f"{output}/layer={layer}/fold={fold}"
         )
 
-    _run_all(tasks, work, parallelism)
+    _run_all(spark, tasks, work, parallelism)
     return spark.read.parquet(output)
 
 
@@ -250,7 +250,7 @@ def final_probes(
             probe.save(f"{save_to}/layer_{layer}_{suffix}")
         return probe
 
-    return _run_all(sorted(sizes), work, parallelism)
+    return _run_all(reps.sparkSession, sorted(sizes), work, parallelism)
 
 
 def probe_parameters(spark: SparkSession, probes: Sequence[Probe]) -> DataFrame:

@@ -20,7 +20,7 @@ def flatten_responses(df: DataFrame, on_bad: str = "unknown") -> DataFrame:
 
     ``on_bad="unknown"`` reads a missing text as empty; ``"fail"`` stops the job at such a row.
     """
-    message = F.try_element_at(F.col("response.body.choices"), F.lit(1))["message"]
+    message = F.get("response.body.choices", 0)["message"]
     content = message["content"]
     if on_bad == "fail":
         missing = F.concat(F.lit("response without content: "), F.coalesce("custom_id", F.lit("?")))

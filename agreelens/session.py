@@ -26,6 +26,7 @@ def local_session(name: str, cpus: int | str = "*", shuffle_partitions: int = 8,
         .appName(name)
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     )
     for key, value in SESSION_CONF.items():
