@@ -10,7 +10,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import py_strip
+from .constants import PY_WHITESPACE
 
 BucketRule = tuple[str, Callable[[Column], Column]]
 
@@ -24,44 +24,46 @@ VOTE_BUCKETS: tuple[BucketRule, ...] = (
 POLICIES = ("fail", "neutral", "drop")
 
 
-def _to_int(token: Column) -> Column:
-    # The pattern keeps "3.0" out, which a plain cast would round.
-    return F.when(token.rlike(r"^[+-]?[0-9]+$"), token.try_cast("bigint"))
+# Whitespace becomes a plain space, which the integer cast trims. Other control characters, which it would
+# trim too, become a letter, so that they stay malformed.
+_SPACES = PY_WHITESPACE.replace(" ", "")
+_CONTROLS = "".join(chr(c) for c in (*range(32), *range(0x7F, 0xA0)) if chr(c) not in PY_WHITESPACE)
+_FROM, _TO = _SPACES + _CONTROLS, " " * len(_SPACES) + "x" * len(_CONTROLS)
 
 
-def vote_tokens(raw: Column, policy: str, skip_empty: bool | None = None) -> Column:
-    """Trimmed pieces of a comma-separated vote string.
+def vote_pieces(raw: Column, policy: str, skip_empty: bool | None = None) -> Column:
+    """Pieces of a comma-separated vote string, possibly with spaces around.
 
     The policies differ in where quotes may stand: around each piece ("fail"), anywhere ("neutral") or
     around the whole string ("drop"). Empty pieces are skipped except under "neutral".
     """
     if policy not in POLICIES:
         raise ValueError(f"unknown vote policy {policy!r}, expected one of {POLICIES}")
-    raw = F.coalesce(raw, F.lit(""))
+    clean = F.translate(F.coalesce(raw, F.lit("")), _FROM, _TO)
     if policy == "neutral":
-        pieces = F.split(F.replace(raw, F.lit('"'), F.lit("")), ",")
+        pieces = F.split(F.replace(clean, F.lit('"'), F.lit("")), ",")
     elif policy == "drop":
-        pieces = F.split(F.btrim(raw, F.lit('"')), ",")
+        pieces = F.split(F.btrim(clean, F.lit('"')), ",")
     else:
-        pieces = F.transform(F.split(raw, ","), lambda t: F.btrim(py_strip(t), F.lit('"')))
+        pieces = F.split(clean, ",")
+        # A piece of blanks between quotes is malformed, one of blanks alone is empty.
+        bare = lambda t: F.regexp_replace(F.btrim(F.trim(t), F.lit('"')), "^ +$", "x")
+        pieces = F.when(F.contains(clean, F.lit('"')), F.transform(pieces, bare)).otherwise(pieces)
     if skip_empty is None:
         skip_empty = policy != "neutral"
-    if skip_empty:
-        pieces = F.filter(pieces, (lambda t: t != "") if policy == "fail" else (lambda t: py_strip(t) != ""))
-    return F.transform(pieces, py_strip)
+    return F.filter(pieces, lambda t: F.trim(t) != "") if skip_empty else pieces
 
 
 def parse_votes(raw: Column, policy: str = "drop", skip_empty: bool | None = None) -> Column:
-    """``array<bigint>`` of votes in which a malformed piece is NULL, or an error under "fail"."""
-    tokens = vote_tokens(raw, policy, skip_empty)
+    """``array<bigint>`` of votes in which a malformed piece is NULL, or an error under "fail".
+
+    One cast of the whole array does the parsing: no per-element pattern match.
+    """
+    votes = vote_pieces(raw, policy, skip_empty).try_cast("array<bigint>")
     if policy != "fail":
-        return F.transform(tokens, _to_int)
-    return F.transform(
-        tokens,
-        lambda t: F.coalesce(
-            _to_int(t), F.raise_error(F.concat(F.lit("malformed vote: "), t)).cast("bigint")
-        ),
-    )
+        return votes
+    error = F.raise_error(F.concat(F.lit("malformed vote in: "), raw)).cast("bigint")
+    return F.transform(votes, lambda v: F.coalesce(v, error))
 
 
 def has_malformed(votes: Column) -> Column:

@@ -7,6 +7,7 @@ combine. Every metric is derived from that small table, so asking for more metri
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,83 +43,103 @@ def _f1(precision: Column, recall: Column) -> Column:
     return _ratio(2 * (precision * recall), precision + recall)
 
 
-def _fold(array: Column, term) -> Column:
-    return F.aggregate(array, F.lit(0.0), lambda acc, x: acc + term(x))
+def _cells(labels: Sequence, where: Column) -> list[Column]:
+    """Counts from which every metric follows, over the rows of ``counts`` that satisfy ``where``."""
+    gold, pred = F.col("gold"), F.col("pred")
+    out = [
+        _count(where).alias("num_examples"),
+        _count(where & gold.isNotNull()).alias("num_with_gold"),
+        _count(where & pred.isNull()).alias("unknown_prediction_count"),
+        _count(where & (gold == pred)).alias("correct"),
+        _count(where & gold.eqNullSafe(pred)).alias("_same"),
+    ]
+    for i, label in enumerate(labels):
+        out += [
+            _count(where & (gold == label) & (pred == label)).alias(f"_tp{i}"),
+            _count(where & (pred == label)).alias(f"_predicted{i}"),
+            _count(where & (gold == label)).alias(f"_support{i}"),
+        ]
+    return out
+
+
+def _total(columns: Sequence[Column]) -> Column:
+    return reduce(lambda a, b: a + b, columns)
+
+
+def _metrics(cells: DataFrame, labels: Sequence, keys: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
+    """Metrics from one row of counts per key set: plain arithmetic, no further shuffle."""
+    every = range(len(labels))
+    tp = [F.col(f"_tp{i}") for i in every]
+    predicted = [F.col(f"_predicted{i}") for i in every]
+    support = [F.col(f"_support{i}") for i in every]
+    precision = [F.col(f"_precision{i}") for i in every]
+    recall = [F.col(f"_recall{i}") for i in every]
+    f1 = [F.col(f"_f1{i}") for i in every]
+    present = [(support[i] > 0) | (predicted[i] > 0) for i in every]
+    rates = cells.select(
+        "*",
+        *[_ratio(tp[i], predicted[i]).alias(f"_precision{i}") for i in every],
+        *[_ratio(tp[i], support[i]).alias(f"_recall{i}") for i in every],
+        _ratio(_total(tp), _total(predicted)).alias("micro_precision"),
+        _ratio(_total(tp), _total(support)).alias("micro_recall"),
+    )
+    scored = rates.select("*", *[_f1(precision[i], recall[i]).alias(f"_f1{i}") for i in every])
+    classes = [
+        F.struct(
+            F.lit(label).alias("label"),
+            tp[i].alias("tp"),
+            (predicted[i] - tp[i]).alias("fp"),
+            (support[i] - tp[i]).alias("fn"),
+            support[i].alias("support"),
+            predicted[i].alias("predicted"),
+            precision[i].alias("precision"),
+            recall[i].alias("recall"),
+            f1[i].alias("f1"),
+        )
+        for i, label in enumerate(labels)
+    ]
+    present_f1 = _total([F.when(present[i], f1[i]).otherwise(0.0) for i in every])
+    return scored.select(
+        *keys,
+        "num_examples",
+        "num_with_gold",
+        "unknown_prediction_count",
+        "correct",
+        _ratio(F.col("_same"), F.col("num_examples")).alias("accuracy_all"),
+        _ratio(F.col("correct"), F.col("num_with_gold")).alias("accuracy_known"),
+        (_total(f1) / len(labels)).alias("macro_f1"),
+        _ratio(present_f1, _total([p.cast("int") for p in present])).alias("macro_f1_present"),
+        "micro_precision",
+        "micro_recall",
+        _f1(F.col("micro_precision"), F.col("micro_recall")).alias("micro_f1"),
+        _ratio(_total([f1[i] * support[i] for i in every]), _total(support)).alias("weighted_f1"),
+        F.array(*classes).alias("per_class"),
+        *extra,
+    )
 
 
 def classification_report(
-    counts: DataFrame, labels: Sequence = LABELS, keys: Sequence[str] = ()
+    counts: DataFrame,
+    labels: Sequence = LABELS,
+    keys: Sequence[str] = (),
+    strata: Sequence[str] = (),
+    stratum: str = "entropy_class",
 ) -> DataFrame:
     """One row per key set: accuracy, F1 averages and the array ``per_class``.
 
     Both accuracy rules are given: ``accuracy_all`` divides by all rows and takes two missing labels as
     equal, ``accuracy_known`` looks at rows with gold only. Likewise ``macro_f1`` divides by the length of
     the label list and ``macro_f1_present`` by the labels that occur as gold or prediction.
+
+    With ``strata`` there is one row per key set and listed value of ``stratum``, zeros included.
     """
-    gold, pred = F.col("gold"), F.col("pred")
-    cells = [
-        F.struct(
-            F.lit(label).alias("label"),
-            _count((gold == label) & (pred == label)).alias("tp"),
-            _count(pred == label).alias("predicted"),
-            _count(gold == label).alias("support"),
-        )
-        for label in labels
+    if not strata:
+        return _metrics(counts.groupBy(*keys).agg(*_cells(labels, F.lit(True))), labels, keys)
+    scopes = [
+        F.struct(F.lit(s).alias(stratum), *_cells(labels, F.col(stratum) == s)) for s in strata
     ]
-    wide = counts.groupBy(*keys).agg(
-        _count(F.lit(True)).alias("num_examples"),
-        _count(gold.isNotNull()).alias("num_with_gold"),
-        _count(pred.isNull()).alias("unknown_prediction_count"),
-        _count(gold == pred).alias("correct"),
-        _count(gold.eqNullSafe(pred)).alias("_same"),
-        F.array(*cells).alias("_cells"),
-    )
-
-    def rates(c: Column) -> Column:
-        return F.struct(
-            c["label"].alias("label"),
-            c["tp"].alias("tp"),
-            (c["predicted"] - c["tp"]).alias("fp"),
-            (c["support"] - c["tp"]).alias("fn"),
-            c["support"].alias("support"),
-            _ratio(c["tp"], c["predicted"]).alias("precision"),
-            _ratio(c["tp"], c["support"]).alias("recall"),
-        )
-
-    def with_f1(c: Column) -> Column:
-        fields = ["label", "tp", "fp", "fn", "support", "precision", "recall"]
-        return F.struct(*[c[f].alias(f) for f in fields], _f1(c["precision"], c["recall"]).alias("f1"))
-
-    classes = F.col("per_class")
-    tp, fp, fn = (_fold(classes, lambda c, f=f: c[f]) for f in ("tp", "fp", "fn"))
-    support = _fold(classes, lambda c: c["support"])
-    present = F.size(F.filter(classes, lambda c: (c["support"] > 0) | (c["tp"] + c["fp"] > 0)))
-    f1_sum = _fold(classes, lambda c: c["f1"])
-    present_f1 = _fold(
-        F.filter(classes, lambda c: (c["support"] > 0) | (c["tp"] + c["fp"] > 0)), lambda c: c["f1"]
-    )
-    return (
-        wide.withColumn("_rates", F.transform("_cells", rates))
-        .withColumn("per_class", F.transform("_rates", with_f1))
-        .withColumn("micro_precision", _ratio(tp, tp + fp))
-        .withColumn("micro_recall", _ratio(tp, tp + fn))
-        .select(
-            *keys,
-            "num_examples",
-            "num_with_gold",
-            "unknown_prediction_count",
-            "correct",
-            _ratio(F.col("_same"), F.col("num_examples")).alias("accuracy_all"),
-            _ratio(F.col("correct"), F.col("num_with_gold")).alias("accuracy_known"),
-            (f1_sum / len(labels)).alias("macro_f1"),
-            _ratio(present_f1, present).alias("macro_f1_present"),
-            "micro_precision",
-            "micro_recall",
-            _f1(F.col("micro_precision"), F.col("micro_recall")).alias("micro_f1"),
-            _ratio(_fold(classes, lambda c: c["f1"] * c["support"]), support).alias("weighted_f1"),
-            "per_class",
-        )
-    )
+    wide = counts.groupBy(*keys).agg(F.array(*scopes).alias("_scopes")).select(*keys, F.inline("_scopes"))
+    return _metrics(wide, labels, [*keys, stratum])
 
 
 def per_class(report: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

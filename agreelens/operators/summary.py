@@ -1,4 +1,8 @@
-"""Nested summary documents, one row per key set, built from confusion counts."""
+"""Nested summary documents, one row per key set, built from confusion counts.
+
+Each document comes from a single aggregate over the counts. Assembling it from several operators by join
+would evaluate the counts, and the join with gold below them, once per part.
+"""
 
 from __future__ import annotations
 
@@ -8,96 +12,85 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.constants import HIGH_ENTROPY, LABELS, LETTERS, LOW_ENTROPY
-from .metrics import classification_report, error_types, label_distribution, prediction_counts, roll_up
+from ..functions.labels import error_type
+from .metrics import _cells, _metrics, classification_report
 
 STRATA = (LOW_ENTROPY, HIGH_ENTROPY)
+_ALL = "all"
 
 
-def with_all_strata(
-    counts: DataFrame, keys: Sequence[str] = (), stratum: str = "entropy_class", values: Sequence[str] = STRATA
-) -> DataFrame:
-    """Add empty counts so that every key set has every stratum and an absent one reports zeros."""
-    empty = counts.select(*keys).distinct() if keys else counts.sparkSession.range(1).select()
-    empty = empty.select(
-        *keys,
-        F.explode(F.array(*[F.lit(v) for v in values])).alias(stratum),
-        F.lit(None).cast(counts.schema["gold"].dataType).alias("gold"),
-        F.lit(None).cast(counts.schema["pred"].dataType).alias("pred"),
-        F.lit(0).cast("bigint").alias("n"),
-    )
-    return counts.unionByName(empty)
+def _class_map(fields: Sequence[str]) -> Column:
+    entry = lambda c: F.struct(c["label"], F.struct(*[c[f].alias(f) for f in fields]))
+    return F.map_from_entries(F.transform("per_class", entry))
 
 
-def _per_class_map(fields: Sequence[str]) -> Column:
-    entries = F.transform(
-        F.col("per_class"), lambda c: F.struct(c["label"], F.struct(*[c[f].alias(f) for f in fields]))
-    )
-    return F.map_from_entries(entries)
+def _label_map(field: str) -> Column:
+    return F.map_from_entries(F.transform("per_class", lambda c: F.struct(c["label"], c[field])))
 
 
-def _label_map(rows: DataFrame, keys: Sequence[str], **columns: str) -> DataFrame:
-    # One entry per label, so the collected list is as short as the label list.
-    maps = [
-        F.map_from_entries(F.collect_list(F.struct("label", source))).alias(name)
-        for name, source in columns.items()
-    ]
-    return rows.groupBy(*keys).agg(*maps)
-
-
-def _attach(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Join of two tables with one row per key set (one row each without keys)."""
-    if keys:
-        return left.join(right, list(keys), "left")
-    one = F.lit(1)
-    return left.withColumn("_one", one).join(right.withColumn("_one", one), "_one", "left").drop("_one")
+def _error_map(errors: Column) -> Column:
+    """A short list of ``(error_type, n)`` as a map, equal types added up."""
+    types = F.array_distinct(F.transform(errors, lambda e: e["error_type"]))
+    total = lambda t: F.aggregate(
+        F.filter(errors, lambda e: e["error_type"] == t), F.lit(0).cast("bigint"), lambda acc, e: acc + e["n"]
+    )
+    return F.map_from_arrays(types, F.transform(types, total))
 
 
 def evaluation_summary(
-    counts: DataFrame, labels: Sequence[str] = LABELS, keys: Sequence[str] = (), stratum: str | None = None
+    counts: DataFrame,
+    labels: Sequence[str] = LABELS,
+    keys: Sequence[str] = (),
+    stratum: str | None = None,
+    strata: Sequence[str] = STRATA,
 ) -> DataFrame:
     """``keys, summary``: accuracy, averages, per-class metrics and label distribution as one JSON document.
 
     With ``stratum`` (a column of ``counts``) the document also has a breakdown by it, with error counts.
     """
-    overall = roll_up(counts, keys)
-    report = classification_report(overall, labels, keys).withColumn(
-        "per_class_metrics", _per_class_map(["precision", "recall", "f1", "support"])
-    )
-    distribution = _label_map(label_distribution(overall, labels, keys), keys, _gold="gold_n", _pred="pred_n")
-    out = _attach(report, distribution, keys)
-    fields = [
-        F.col("num_examples"),
-        F.col("num_with_gold"),
-        F.col("accuracy_all").alias("accuracy"),
-        F.col("macro_f1"),
-        F.col("micro_f1"),
-        F.col("weighted_f1"),
-        F.col("correct").alias("correct_predictions"),
-        F.col("per_class_metrics"),
-        F.struct(F.col("_gold").alias("gold"), F.col("_pred").alias("predictions")).alias("label_distribution"),
-    ]
-    if stratum:
-        out = _attach(out, _breakdown(counts, labels, keys, stratum), keys)
-        fields.append(F.col("_breakdown").alias(f"{stratum.removesuffix('_class')}_breakdown"))
-    return out.select(*keys, F.to_json(F.struct(*fields)).alias("summary"))
+    wrong = ~F.col("gold").eqNullSafe(F.col("pred"))
+    kind = F.struct(error_type(F.col("gold"), F.col("pred")).alias("error_type"), F.col("n").alias("n"))
 
+    def scope(name: str, where: Column) -> Column:
+        # At most one list entry per pair of labels.
+        errors = F.collect_list(F.when(where & wrong, kind)).alias("_errors")
+        return F.struct(F.lit(name).alias("_scope"), *_cells(labels, where), errors)
 
-def _breakdown(counts: DataFrame, labels: Sequence[str], keys: Sequence[str], stratum: str) -> DataFrame:
-    by = [*keys, stratum]
-    report = classification_report(with_all_strata(counts, keys, stratum), labels, by)
-    kinds = error_types(counts, by).groupBy(*by).agg(
-        F.map_from_entries(F.collect_list(F.struct("error_type", "n"))).alias("errors")
+    scopes = [scope(_ALL, F.lit(True))]
+    if stratum:
+        scopes += [scope(s, F.col(stratum) == s) for s in strata]
+    wide = counts.groupBy(*keys).agg(F.array(*scopes).alias("_scopes")).select(*keys, F.inline("_scopes"))
+    scored = _metrics(wide, labels, [*keys, "_scope"], extra=["_errors"])
+    parts = scored.select(
+        *keys,
+        "_scope",
+        F.struct(
+            "num_examples", "num_with_gold", F.col("accuracy_all").alias("accuracy"), "macro_f1", "micro_f1",
+            "weighted_f1", F.col("correct").alias("correct_predictions"),
+            _class_map(["precision", "recall", "f1", "support"]).alias("per_class_metrics"),
+            F.struct(_label_map("support").alias("gold"), _label_map("predicted").alias("predictions")).alias(
+                "label_distribution"
+            ),
+        ).alias("_overall"),
+        F.struct(
+            F.col("num_examples").alias("total"), F.col("accuracy_all").alias("accuracy"),
+            F.col("macro_f1_present").alias("macro_f1"), "micro_f1",
+            _class_map(["f1", "precision", "recall", "support"]).alias("per_class_metrics"),
+            _error_map(F.col("_errors")).alias("errors"),
+        ).alias("_part"),
     )
-    entry = F.struct(
-        F.col("num_examples").alias("total"),
-        F.col("accuracy_all").alias("accuracy"),
-        F.col("macro_f1_present").alias("macro_f1"),
-        F.col("micro_f1"),
-        _per_class_map(["f1", "precision", "recall", "support"]).alias("per_class_metrics"),
-        F.coalesce("errors", F.create_map().cast("map<string,bigint>")).alias("errors"),
+    is_all = F.col("_scope") == _ALL
+    # Already partitioned by the keys, so this aggregate moves nothing.
+    document = parts.groupBy(*keys).agg(
+        F.first(F.when(is_all, F.col("_overall")), ignorenulls=True).alias("_overall"),
+        F.map_from_entries(F.collect_list(F.when(~is_all, F.struct("_scope", "_part")))).alias("_parts"),
     )
-    rows = report.join(kinds, by, "left").select(*keys, F.struct(F.col(stratum), entry.alias("e")).alias("_entry"))
-    return rows.groupBy(*keys).agg(F.map_from_entries(F.collect_list("_entry")).alias("_breakdown"))
+    fields = [F.col("_overall.*")]
+    if stratum:
+        fields.append(F.col("_parts").alias(f"{stratum.removesuffix('_class')}_breakdown"))
+    flat = document.select(*keys, *fields)
+    body = F.struct(*[c for c in flat.columns if c not in keys])
+    return flat.select(*keys, F.to_json(body).alias("summary"))
 
 
 def run_summary(
@@ -105,35 +98,30 @@ def run_summary(
 ) -> DataFrame:
     """``keys, summary`` of a logit-scoring run; ``settings`` (model, batch size, ...) are copied in."""
     report = classification_report(counts, labels, keys)
-    predicted = _label_map(prediction_counts(counts, labels, keys), keys, _predicted="n")
-    out = _attach(report, predicted, keys)
+    per_label = [F.get("per_class", F.lit(i))["predicted"].alias(x) for i, x in enumerate(labels)]
+    predicted = F.struct(*per_label, F.col("unknown_prediction_count").alias("UNKNOWN"))
     document = F.struct(
-        F.col("num_examples"),
-        F.col("num_with_gold"),
+        "num_examples",
+        "num_with_gold",
         F.col("accuracy_known").alias("accuracy"),
-        F.col("unknown_prediction_count"),
-        F.col("_predicted").alias("prediction_counts"),
+        "unknown_prediction_count",
+        predicted.alias("prediction_counts"),
         *[F.lit(value).alias(name) for name, value in settings.items()],
     )
-    return out.select(*keys, F.to_json(document).alias("summary"))
+    return report.select(*keys, F.to_json(document).alias("summary"))
 
 
-def correlation_summary(
-    correlations: DataFrame, tests: DataFrame, rates: DataFrame
-) -> DataFrame:
+def correlation_summary(correlations: DataFrame, tests: DataFrame, rates: DataFrame) -> DataFrame:
     """The error analysis as rows of JSON: one per numeric feature, tested feature and feature value.
 
     A feature may have as many values as there are rows, so the document stays a table of lines.
     """
-    numeric = correlations.select(
-        F.lit("numerical_correlations").alias("section"), "feature", F.to_json(F.struct("correlation", "p_value")).alias("entry")
-    )
-    association = tests.select(
-        F.lit("categorical_associations").alias("section"), "feature", F.to_json(F.struct("cramers_v", "p_value")).alias("entry")
-    )
-    rate = rates.select(
-        F.lit("error_rates_by_category").alias("section"),
-        "feature",
-        F.to_json(F.struct("value", "error_rate", "support")).alias("entry"),
+
+    def section(df: DataFrame, name: str, *fields: str) -> DataFrame:
+        return df.select(F.lit(name).alias("section"), "feature", F.to_json(F.struct(*fields)).alias("entry"))
+
+    return (
+        section(correlations, "numerical_correlations", "correlation", "p_value")
+        .unionByName(section(tests, "categorical_associations", "cramers_v", "p_value"))
+        .unionByName(section(rates, "error_rates_by_category", "value", "error_rate", "support"))
     )
-    return numeric.unionByName(association).unionByName(rate)

@@ -19,10 +19,13 @@ from ..functions.constants import HIGH_ENTROPY, LOW_ENTROPY, MIN_AGREEMENT, NEUT
 def parse_votes(
     df: DataFrame, raw: str = "votes_str", policy: str = "drop", skip_empty: bool | None = None
 ) -> DataFrame:
-    """Add ``votes`` and ``votes_bad``; "drop" also removes items that are malformed or have no vote."""
-    out = df.withColumn("votes", V.parse_votes(F.col(raw), policy, skip_empty)).withColumn(
-        "votes_bad", V.has_malformed(F.col("votes"))
-    )
+    """Add ``votes`` and ``votes_bad``; "drop" also removes items that are malformed or have no vote.
+
+    The array is produced by a one-element generator. A plain projection would be merged into the filter and
+    into every later use, and each of them would parse the string again.
+    """
+    parsed = df.select("*", F.explode(F.array(V.parse_votes(F.col(raw), policy, skip_empty))).alias("votes"))
+    out = parsed.withColumn("votes_bad", V.has_malformed(F.col("votes")))
     if policy == "drop":
         out = out.filter(~F.col("votes_bad") & (F.size("votes") > 0))
     return out

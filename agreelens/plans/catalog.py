@@ -423,9 +423,9 @@ def confusion(spark, sf_dir):
 def stratum_metrics(spark, sf_dir):
     by_stratum = counts(spark, sf_dir, keys=["run", "entropy_class"])
     keys = ["run", "entropy_class"]
-    report = M.classification_report(SU.with_all_strata(by_stratum, ["run"]), keys=keys)
+    report = M.classification_report(by_stratum, keys=["run"], strata=SU.STRATA)
     head = [*keys, "num_examples", "correct", "accuracy_all", "macro_f1_present", "micro_f1"]
-    return tidy(report.select(*head, F.inline("per_class")))
+    return tidy(report.select(*head, F.inline("per_class")).drop("predicted"))
 
 
 @register
