@@ -6,10 +6,9 @@ combine. Every metric is derived from that small table, so asking for more metri
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import LABELS, UNKNOWN
@@ -30,90 +29,99 @@ def roll_up(counts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return counts.groupBy(*keys, "gold", "pred").agg(F.sum("n").alias("n"))
 
 
-def _count(condition: Column) -> Column:
-    return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0)).cast("bigint")
+# The formulas below are SQL text: many small terms per label, each parsed in one go, which keeps building the
+# plan for several strata and labels cheap on the driver.
 
 
-def _ratio(top: Column, bottom: Column) -> Column:
+def literal(value: str | int) -> str:
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return str(value)
+
+
+def _count(condition: str) -> str:
+    return f"coalesce(sum(CASE WHEN {condition} THEN n END), 0L)"
+
+
+def _ratio(top: str, bottom: str) -> str:
     # An empty denominator gives 0.0, never NULL.
-    return F.coalesce(F.try_divide(top.cast("double"), bottom.cast("double")), F.lit(0.0))
+    return f"coalesce(try_divide(CAST({top} AS DOUBLE), CAST({bottom} AS DOUBLE)), 0D)"
+
+
+def _f1(precision: str, recall: str) -> str:
+    return _ratio(f"2 * ({precision} * {recall})", f"({precision} + {recall})")
 
 
-def _f1(precision: Column, recall: Column) -> Column:
-    return _ratio(2 * (precision * recall), precision + recall)
+def _total(terms: Sequence[str]) -> str:
+    return "(" + " + ".join(terms) + ")"
 
 
-def _cells(labels: Sequence, where: Column) -> list[Column]:
+def cells(labels: Sequence, where: str = "true") -> dict[str, str]:
     """Counts from which every metric follows, over the rows of ``counts`` that satisfy ``where``."""
-    gold, pred = F.col("gold"), F.col("pred")
-    out = [
-        _count(where).alias("num_examples"),
-        _count(where & gold.isNotNull()).alias("num_with_gold"),
-        _count(where & pred.isNull()).alias("unknown_prediction_count"),
-        _count(where & (gold == pred)).alias("correct"),
-        _count(where & gold.eqNullSafe(pred)).alias("_same"),
-    ]
-    for i, label in enumerate(labels):
-        out += [
-            _count(where & (gold == label) & (pred == label)).alias(f"_tp{i}"),
-            _count(where & (pred == label)).alias(f"_predicted{i}"),
-            _count(where & (gold == label)).alias(f"_support{i}"),
-        ]
+    out = {
+        "num_examples": _count(where),
+        "num_with_gold": _count(f"{where} AND gold IS NOT NULL"),
+        "unknown_prediction_count": _count(f"{where} AND pred IS NULL"),
+        "correct": _count(f"{where} AND gold = pred"),
+        "same": _count(f"{where} AND gold <=> pred"),
+    }
+    for i, label in enumerate(map(literal, labels)):
+        out[f"tp{i}"] = _count(f"{where} AND gold = {label} AND pred = {label}")
+        out[f"predicted{i}"] = _count(f"{where} AND pred = {label}")
+        out[f"support{i}"] = _count(f"{where} AND gold = {label}")
     return out
 
 
-def _total(columns: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a + b, columns)
+def named_struct(fields: Mapping[str, str]) -> str:
+    return "named_struct(" + ", ".join(f"{literal(name)}, {value}" for name, value in fields.items()) + ")"
 
 
-def _metrics(cells: DataFrame, labels: Sequence, keys: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
-    """Metrics from one row of counts per key set: plain arithmetic, no further shuffle."""
+def metrics(wide: DataFrame, labels: Sequence, keys: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
+    """Metrics from one row of ``cells`` per key set: plain arithmetic, no further shuffle."""
     every = range(len(labels))
-    tp = [F.col(f"_tp{i}") for i in every]
-    predicted = [F.col(f"_predicted{i}") for i in every]
-    support = [F.col(f"_support{i}") for i in every]
-    precision = [F.col(f"_precision{i}") for i in every]
-    recall = [F.col(f"_recall{i}") for i in every]
-    f1 = [F.col(f"_f1{i}") for i in every]
-    present = [(support[i] > 0) | (predicted[i] > 0) for i in every]
-    rates = cells.select(
+    tp, predicted, support, f1 = ([f"{x}{i}" for i in every] for x in ("tp", "predicted", "support", "f1_"))
+    present = [f"(support{i} > 0 OR predicted{i} > 0)" for i in every]
+    rates = wide.selectExpr(
         "*",
-        *[_ratio(tp[i], predicted[i]).alias(f"_precision{i}") for i in every],
-        *[_ratio(tp[i], support[i]).alias(f"_recall{i}") for i in every],
-        _ratio(_total(tp), _total(predicted)).alias("micro_precision"),
-        _ratio(_total(tp), _total(support)).alias("micro_recall"),
+        *[f"{_ratio(tp[i], predicted[i])} AS precision{i}" for i in every],
+        *[f"{_ratio(tp[i], support[i])} AS recall{i}" for i in every],
+        f"{_ratio(_total(tp), _total(predicted))} AS micro_precision",
+        f"{_ratio(_total(tp), _total(support))} AS micro_recall",
     )
-    scored = rates.select("*", *[_f1(precision[i], recall[i]).alias(f"_f1{i}") for i in every])
+    scored = rates.selectExpr("*", *[f"{_f1(f'precision{i}', f'recall{i}')} AS f1_{i}" for i in every])
     classes = [
-        F.struct(
-            F.lit(label).alias("label"),
-            tp[i].alias("tp"),
-            (predicted[i] - tp[i]).alias("fp"),
-            (support[i] - tp[i]).alias("fn"),
-            support[i].alias("support"),
-            predicted[i].alias("predicted"),
-            precision[i].alias("precision"),
-            recall[i].alias("recall"),
-            f1[i].alias("f1"),
+        named_struct(
+            {
+                "label": literal(label),
+                "tp": f"tp{i}",
+                "fp": f"predicted{i} - tp{i}",
+                "fn": f"support{i} - tp{i}",
+                "support": f"support{i}",
+                "predicted": f"predicted{i}",
+                "precision": f"precision{i}",
+                "recall": f"recall{i}",
+                "f1": f"f1_{i}",
+            }
         )
         for i, label in enumerate(labels)
     ]
-    present_f1 = _total([F.when(present[i], f1[i]).otherwise(0.0) for i in every])
-    return scored.select(
-        *keys,
+    present_f1 = _total([f"IF({present[i]}, {f1[i]}, 0D)" for i in every])
+    n_present = _total([f"CAST({p} AS INT)" for p in present])
+    return scored.selectExpr(
+        *[f"`{k}`" for k in keys],
         "num_examples",
         "num_with_gold",
         "unknown_prediction_count",
         "correct",
-        _ratio(F.col("_same"), F.col("num_examples")).alias("accuracy_all"),
-        _ratio(F.col("correct"), F.col("num_with_gold")).alias("accuracy_known"),
-        (_total(f1) / len(labels)).alias("macro_f1"),
-        _ratio(present_f1, _total([p.cast("int") for p in present])).alias("macro_f1_present"),
+        f"{_ratio('same', 'num_examples')} AS accuracy_all",
+        f"{_ratio('correct', 'num_with_gold')} AS accuracy_known",
+        f"{_total(f1)} / {len(labels)} AS macro_f1",
+        f"{_ratio(present_f1, n_present)} AS macro_f1_present",
         "micro_precision",
         "micro_recall",
-        _f1(F.col("micro_precision"), F.col("micro_recall")).alias("micro_f1"),
-        _ratio(_total([f1[i] * support[i] for i in every]), _total(support)).alias("weighted_f1"),
-        F.array(*classes).alias("per_class"),
+        f"{_f1('micro_precision', 'micro_recall')} AS micro_f1",
+        f"{_ratio(_total([f'{f1[i]} * {support[i]}' for i in every]), _total(support))} AS weighted_f1",
+        f"array({', '.join(classes)}) AS per_class",
         *extra,
     )
 
@@ -134,12 +142,18 @@ def classification_report(
     With ``strata`` there is one row per key set and listed value of ``stratum``, zeros included.
     """
     if not strata:
-        return _metrics(counts.groupBy(*keys).agg(*_cells(labels, F.lit(True))), labels, keys)
+        every = [F.expr(value).alias(name) for name, value in cells(labels).items()]
+        return metrics(counts.groupBy(*keys).agg(*every), labels, keys)
     scopes = [
-        F.struct(F.lit(s).alias(stratum), *_cells(labels, F.col(stratum) == s)) for s in strata
+        named_struct({stratum: literal(s), **cells(labels, f"`{stratum}` = {literal(s)}")}) for s in strata
     ]
-    wide = counts.groupBy(*keys).agg(F.array(*scopes).alias("_scopes")).select(*keys, F.inline("_scopes"))
-    return _metrics(wide, labels, [*keys, stratum])
+    return metrics(_rows_per_key(counts, keys, scopes), labels, [*keys, stratum])
+
+
+def _rows_per_key(counts: DataFrame, keys: Sequence[str], structs: Sequence[str]) -> DataFrame:
+    """One aggregate per key set whose structs become rows: fixed scaffolds with zeros, and no join."""
+    rows = F.expr(f"array({', '.join(structs)})").alias("_rows")
+    return counts.groupBy(*keys).agg(rows).select(*keys, F.inline("_rows"))
 
 
 def per_class(report: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -149,15 +163,11 @@ def per_class(report: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 def confusion_matrix(counts: DataFrame, labels: Sequence = LABELS, keys: Sequence[str] = ()) -> DataFrame:
     """A row per gold label and a column per prediction; other and missing labels are left out."""
-    gold, pred = F.col("gold"), F.col("pred")
-    rows = [
-        F.struct(
-            F.lit(g).alias("gold"),
-            *[_count((gold == g) & (pred == p)).alias(f"pred_{p}") for p in labels],
-        )
-        for g in labels
-    ]
-    return counts.groupBy(*keys).agg(F.array(*rows).alias("_rows")).select(*keys, F.inline("_rows"))
+    rows = []
+    for g in labels:
+        row = {f"pred_{p}": _count(f"gold = {literal(g)} AND pred = {literal(p)}") for p in labels}
+        rows.append(named_struct({"gold": literal(g), **row}))
+    return _rows_per_key(counts, keys, rows)
 
 
 def prediction_counts(
@@ -167,24 +177,25 @@ def prediction_counts(
     unknown_values: Sequence[str] = (UNKNOWN,),
 ) -> DataFrame:
     """Predictions per label, with zeros, and missing ones as ``UNKNOWN``."""
-    pred = F.col("pred")
-    rows = [F.struct(F.lit(x).alias("label"), _count(pred == x).alias("n")) for x in labels]
-    missing = pred.isNull() | pred.isin(*unknown_values)
-    rows.append(F.struct(F.lit("UNKNOWN").alias("label"), _count(missing).alias("n")))
-    return counts.groupBy(*keys).agg(F.array(*rows).alias("_rows")).select(*keys, F.inline("_rows"))
+    rows = [named_struct({"label": literal(x), "n": _count(f"pred = {literal(x)}")}) for x in labels]
+    missing = " OR ".join(["pred IS NULL", *[f"pred = {literal(x)}" for x in unknown_values]])
+    rows.append(named_struct({"label": literal("UNKNOWN"), "n": _count(missing)}))
+    return _rows_per_key(counts, keys, rows)
 
 
 def label_distribution(counts: DataFrame, labels: Sequence = LABELS, keys: Sequence[str] = ()) -> DataFrame:
     """Gold and predicted rows per label, with zeros."""
     rows = [
-        F.struct(
-            F.lit(x).alias("label"),
-            _count(F.col("gold") == x).alias("gold_n"),
-            _count(F.col("pred") == x).alias("pred_n"),
+        named_struct(
+            {
+                "label": literal(x),
+                "gold_n": _count(f"gold = {literal(x)}"),
+                "pred_n": _count(f"pred = {literal(x)}"),
+            }
         )
         for x in labels
     ]
-    return counts.groupBy(*keys).agg(F.array(*rows).alias("_rows")).select(*keys, F.inline("_rows"))
+    return _rows_per_key(counts, keys, rows)
 
 
 def error_types(counts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

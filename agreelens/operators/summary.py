@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import HIGH_ENTROPY, LABELS, LETTERS, LOW_ENTROPY
 from ..functions.labels import error_type
-from .metrics import _cells, _metrics, classification_report
+from .metrics import cells, classification_report, literal, metrics, named_struct
 
 STRATA = (LOW_ENTROPY, HIGH_ENTROPY)
 _ALL = "all"
@@ -48,19 +48,20 @@ def evaluation_summary(
 
     With ``stratum`` (a column of ``counts``) the document also has a breakdown by it, with error counts.
     """
-    wrong = ~F.col("gold").eqNullSafe(F.col("pred"))
-    kind = F.struct(error_type(F.col("gold"), F.col("pred")).alias("error_type"), F.col("n").alias("n"))
+    pair = counts.withColumn("_type", error_type(F.col("gold"), F.col("pred")))
 
-    def scope(name: str, where: Column) -> Column:
+    def scope(name: str, where: str) -> str:
         # At most one list entry per pair of labels.
-        errors = F.collect_list(F.when(where & wrong, kind)).alias("_errors")
-        return F.struct(F.lit(name).alias("_scope"), *_cells(labels, where), errors)
+        kind = named_struct({"error_type": "_type", "n": "n"})
+        errors = f"collect_list(CASE WHEN {where} AND NOT gold <=> pred THEN {kind} END)"
+        return named_struct({"_scope": literal(name), **cells(labels, where), "_errors": errors})
 
-    scopes = [scope(_ALL, F.lit(True))]
+    scopes = [scope(_ALL, "true")]
     if stratum:
-        scopes += [scope(s, F.col(stratum) == s) for s in strata]
-    wide = counts.groupBy(*keys).agg(F.array(*scopes).alias("_scopes")).select(*keys, F.inline("_scopes"))
-    scored = _metrics(wide, labels, [*keys, "_scope"], extra=["_errors"])
+        scopes += [scope(s, f"`{stratum}` = {literal(s)}") for s in strata]
+    rows = F.expr(f"array({', '.join(scopes)})").alias("_scopes")
+    wide = pair.groupBy(*keys).agg(rows).select(*keys, F.inline("_scopes"))
+    scored = metrics(wide, labels, [*keys, "_scope"], extra=["_errors"])
     parts = scored.select(
         *keys,
         "_scope",
