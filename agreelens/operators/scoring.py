@@ -74,7 +74,9 @@ def logits_from_long(
     """
     scored = logits.join(label_tokens(tokens, labels), "token_id")
     x = F.col("logit").cast("double")
-    banded = scored.withColumn("_band", F.floor(x / _BAND).cast("double"))
+    # Above the range of whole bands (no real model gets there) the value is its own band.
+    huge = (F.abs(x) >= 1e17) & (F.abs(x) < float("inf"))
+    banded = scored.withColumn("_band", F.when(huge, x / _BAND).otherwise(F.floor(x / _BAND).cast("double")))
     sums = banded.groupBy(*keys, item, "label", "_band").agg(F.sum(F.exp(x - F.col("_band") * _BAND)).alias("_s"))
     top = sums.groupBy(*keys, item).agg(
         *[

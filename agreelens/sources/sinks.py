@@ -15,7 +15,9 @@ def write_csv(df: DataFrame, path: str, decimals: Mapping[str, int] | None = Non
     """CSV with header; ``decimals`` gives columns a fixed number of digits."""
     for name, digits in (decimals or {}).items():
         df = df.withColumn(name, fixed_point(F.col(f"`{name}`"), digits))
-    df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    writer = df.write.mode(mode).option("header", True).option("escape", '"')
+    # Blanks at the ends of a field are data.
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def write_json_lines(
