@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.constants import CATEGORICAL_FEATURES, NUMERIC_FEATURES
 from ..functions.pvalues import chi2_p_value, correlation_p_value
 from ..functions.text import py_strip
+from .joins import splittable_join
 
 
 def _name(column: str) -> Column:
@@ -121,7 +122,8 @@ def chi_square(table: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Chi-square test of each feature against the error flag, with Yates' correction at one degree of freedom.
 
     Features with fewer than two values or without both outcomes are left out. The totals (one row per
-    feature) are joined back to the table of values; both branches read the same shuffle.
+    feature) are joined back to the table of values; both branches read the same shuffle. A feature of raw
+    text is a hot key of that join.
     """
     by = [*keys, "feature"]
     totals = (
@@ -146,7 +148,7 @@ def chi_square(table: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
     cell = term(F.col("errors"), F.col("_e")) + term(F.col("non_errors"), F.col("_o"))
     return (
-        table.join(totals, by)
+        splittable_join(table, totals, by)
         .groupBy(*by)
         .agg(F.sum(cell).alias("chi2"), F.first("n").alias("n"), F.first("value_count").alias("value_count"))
         .withColumn("dof", F.col("value_count") - 1)

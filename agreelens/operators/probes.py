@@ -24,6 +24,7 @@ from ..functions.text import literal_map, py_strip
 from ..session import shared_dir
 from ..sources.checks import require_columns
 from ..sources.row_index import first_rows, with_row_index
+from .joins import splittable_join
 from .metrics import classification_report, confusion_counts
 
 MAX_DRIVER_GROUPS = 100_000
@@ -107,8 +108,8 @@ def _greedy_folds(counts: DataFrame, n_splits: int, seed: int) -> DataFrame:
 
 
 def with_folds(df: DataFrame, folds: DataFrame, group: str = "group") -> DataFrame:
-    """Rows with their fold. The fold table has one row per group and is broadcast only if measured small."""
-    return df.join(folds.withColumnRenamed("group", group), group)
+    """Rows with their fold. One group may own a large share of the rows."""
+    return splittable_join(df, folds.withColumnRenamed("group", group), [group])
 
 
 # ---------------------------------------------------------------------------------------------- fits
@@ -197,7 +198,7 @@ def out_of_fold(
     reps: DataFrame,
     max_iter: int = 2000,
     c: float = 1.0,
-    parallelism: int = 4,
+    parallelism: int = 8,
     output: str | None = None,
 ) -> DataFrame:
     """Predictions and probabilities for every row from the fit that did not see its fold.
@@ -235,7 +236,7 @@ def out_of_fold(
 
 
 def final_probes(
-    reps: DataFrame, max_iter: int = 2000, c: float = 1.0, parallelism: int = 4, save_to: str | None = None
+    reps: DataFrame, max_iter: int = 2000, c: float = 1.0, parallelism: int = 8, save_to: str | None = None
 ) -> list[Probe]:
     """One probe per layer fitted on all rows, or a constant where the layer has one class only."""
     staged = reps.sparkSession.read.parquet(_stage(reps, folds=False))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import extract_label, item_id_from
+from .joins import splittable_join
 
 RESPONSE_SCHEMA = (
     "custom_id string, response struct<body: struct<choices: "
@@ -53,39 +54,13 @@ def dedupe_gold(gold: DataFrame, key: str = "item_id", order: Sequence[str] = ("
 
 
 def match_gold(preds: DataFrame, gold: DataFrame, on: str = "item_id", salts: int = 1) -> DataFrame:
-    """Inner join; predictions without gold drop out and repeated predictions all stay.
-
-    No broadcast hint: the adaptive planner broadcasts ``gold`` once it has measured it to be small. When it
-    is large, one item may own a huge share of the predictions, and there are two ways to split it:
-
-    * ``salts=1`` leaves it to AQE's skew join. AQE splits a side only if that side is read straight from a
-      shuffle, which a de-duplicated ``gold`` (an aggregate on the same key) is not. Joining on an expression
-      of the key gives that side its own shuffle and keeps the split possible.
-    * ``salts>1`` spreads each key over that many partitions and copies gold rows to match. It needs no AQE,
-      so it is the choice for streams. The salt mixes row content with the input partition, so exact copies
-      are spread too and a retried task gives the same salts.
-    """
-    clash = (set(preds.columns) & set(gold.columns)) - {on}
-    if clash:
-        raise ValueError(f"columns on both sides of the join: {sorted(clash)}")
-    left, right = preds.alias("p"), gold.alias("g")
-    if salts > 1:
-        content = F.xxhash64(*[F.col(f"`{c}`") for c in preds.columns])
-        spread = F.pmod(F.pmod(content, F.lit(salts)) + F.spark_partition_id(), F.lit(salts)).cast("int")
-        left = preds.withColumn("_salt", F.when(F.col(on).isNotNull(), spread)).alias("p")
-        right = gold.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).alias("g")
-    own_shuffle = F.concat(F.col(f"g.{on}").cast("string"), F.lit(""))
-    condition = F.col(f"p.{on}").cast("string") == own_shuffle
-    if salts > 1:
-        condition = condition & (F.col("p._salt") == F.col("g._salt"))
-    return left.join(right, condition, "inner").select(
-        *[F.col(f"p.`{c}`") for c in preds.columns], *[F.col(f"g.`{c}`") for c in gold.columns if c != on]
-    )
+    """Inner join; predictions without gold drop out and repeated predictions all stay."""
+    return splittable_join(preds, gold, [on], "inner", salts)
 
 
 def unmatched(preds: DataFrame, gold: DataFrame, on: str = "item_id") -> DataFrame:
     """Predictions the evaluation drops for want of gold, as a data-quality output."""
-    return preds.join(gold.select(on), on, "left_anti")
+    return splittable_join(preds, gold.select(on), [on], "left_anti")
 
 
 def detailed_records(preds: DataFrame, gold: DataFrame, on: str = "item_id", salts: int = 1) -> DataFrame:

@@ -67,12 +67,18 @@ def logits_from_long(
 ) -> DataFrame:
     """``logit_<label>`` per item from rows ``(item, token_id, logit)``.
 
-    The join with the label tokens comes first and leaves a handful of rows per item. A log-sum-exp needs
+    Only rows of label tokens pass the first filter, a handful per item; the token lists are a subquery
+    result, so there is no join that could shuffle a whole vocabulary per item. A log-sum-exp needs
     a shift to stay finite; instead of first finding each group's maximum (a second pass, or a window that
     holds a whole group), every value is summed within its own band of fixed width. Band sums are plain
     partial aggregates, and the few bands of an item are combined at the end relative to the highest one.
     """
-    scored = logits.join(label_tokens(tokens, labels), "token_id")
+    label = F.lit(None).cast("string")
+    for name in reversed(labels):
+        is_token = F.array_contains(F.col(f"_ids.{name}"), F.col("token_id").cast("bigint"))
+        label = F.when(is_token, F.lit(name)).otherwise(label)
+    labelled = logits.withColumn("_ids", label_token_ids(tokens, labels)).withColumn("label", label)
+    scored = labelled.filter(F.col("label").isNotNull())
     x = F.col("logit").cast("double")
     # Above the range of whole bands (no real model gets there) the value is its own band.
     huge = (F.abs(x) >= 1e17) & (F.abs(x) < float("inf"))

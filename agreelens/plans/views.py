@@ -40,8 +40,8 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = long_votes(spark, sf_dir).groupBy("item_id").agg(
         *[F.count_if(F.col("vote") == v).cast("int").alias(f"c{i}") for i, v in enumerate(VOTE_VALUES)]
     )
-    spelled = F.concat(*[F.array_repeat(F.lit(str(v)), F.col(f"c{i}")) for i, v in enumerate(VOTE_VALUES)])
-    joined = F.array_join(spelled, ",")
+    spelled = F.concat(*[F.repeat(F.lit(f"{v},"), F.col(f"c{i}")) for i, v in enumerate(VOTE_VALUES)])
+    joined = F.rtrim(spelled, F.lit(","))
     votes_str = (
         F.when(F.col("item_id") % 101 == 0, F.lit(""))
         .when(F.col("item_id") % 97 == 0, F.concat(joined, F.lit(",x")))

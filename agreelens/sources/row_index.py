@@ -4,22 +4,33 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from ..session import shared_dir
 
 
 def with_row_index(df: DataFrame, order: Sequence[str | Column], name: str = "row_id") -> DataFrame:
     """Add 0-based positions in the total order given by ``order``.
 
-    The sort is range-partitioned. ``zipWithIndex`` then counts rows per partition in one light job and
-    adds offsets in the next; both read the same sorted shuffle, so the numbers are consistent and come
-    out the same when a lost partition is computed again. A window without a partition key would move
-    all rows into one task instead.
+    The rows are range-sorted and written to the shared work folder, one file per task in order. A row's
+    position is its index within the file plus the number of rows in earlier files; that list is as long as
+    the sort has tasks. Numbers are fixed once written, however often the result is read or recomputed, and
+    no row passes through Python or through a single task, as it would in a window without partition key.
     """
-    schema = T.StructType([*df.schema.fields, T.StructField(name, T.LongType(), False)])
-    indexed = df.orderBy(*order).rdd.zipWithIndex().map(lambda pair: (*pair[0], pair[1]))
-    return df.sparkSession.createDataFrame(indexed, schema, verifySchema=False)
+    spark = df.sparkSession
+    path = shared_dir(spark, "row-index")
+    df.orderBy(*order).write.parquet(path)
+    # An explicit schema spares a look at the files, and an empty result leaves none.
+    staged = spark.read.schema(df.schema).parquet(path)
+    task = F.regexp_extract(F.col("_metadata.file_name"), r"^part-([0-9]+)", 1).cast("int")
+    files = staged.groupBy(task.alias("_task")).agg(F.count(F.lit(1)).alias("_rows"))
+    before = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = files.select("_task", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
+    placed = staged.select("*", task.alias("_task"), F.col("_metadata.row_index").alias("_index"))
+    position = (F.col("_offset") + F.col("_index")).alias(name)
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    return placed.join(F.broadcast(offsets), "_task").select(*columns, position)
 
 
 def with_file_order(df: DataFrame, name: str = "row_id") -> DataFrame:

@@ -85,6 +85,11 @@ def test_top_errors_limit_before_the_shuffle(spark):
     assert "WindowGroupLimit" in plan_of(M.top_errors(errors, ["run"]))
 
 
+def test_long_logits_are_filtered_without_a_join(spark, sf_dir):
+    main_query = plan_of(C.label_logits(spark, sf_dir)).split("Subqueries")[0]
+    assert "Join" not in main_query
+
+
 def test_dense_logits_do_not_shuffle_items(spark, sf_dir):
     main_query = plan_of(C.dense_logits(spark, sf_dir)).split("Subqueries")[0]
     assert "hashpartitioning" not in main_query
