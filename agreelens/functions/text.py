@@ -9,8 +9,13 @@ from .constants import PY_WHITESPACE
 
 
 def py_strip(col: Column) -> Column:
-    """Strip all whitespace at both ends; SQL ``trim`` alone would keep newlines and tabs."""
-    return F.btrim(col, F.lit(PY_WHITESPACE))
+    """Strip all whitespace at both ends; SQL ``trim`` alone would keep newlines and tabs.
+
+    A trim with a character set walks through the whole text, so it runs only where an end needs it.
+    """
+    spaces = list(PY_WHITESPACE)
+    needed = F.substring(col, 1, 1).isin(spaces) | F.substring(col, -1, 1).isin(spaces)
+    return F.when(needed, F.btrim(col, F.lit(PY_WHITESPACE))).otherwise(col)
 
 
 def nonblank(col: Column) -> Column:

@@ -37,24 +37,24 @@ def state_aggregates(order: Sequence[str] = ("ts",)) -> list[Column]:
     """
     position = F.struct(*[F.col(c) for c in order])
     save, skip = F.col("action") == "save", F.col("action") == "skip"
-    saved = F.struct(
-        F.coalesce("labels", F.lit(NO_CHOICE)).alias("labels"),
-        F.nullif(py_strip(F.col("comments")), F.lit("")).alias("comments"),
-    )
-    skipped = F.struct(
-        F.lit(SKIPPED).alias("labels"),
-        F.when(nonblank(F.col("comments")), F.col("comments")).alias("comments"),
-    )
+    entry = F.struct("labels", "comments")
     # max_by and min_by ignore rows whose ordering value is NULL.
     return [
-        F.max_by(saved, F.when(save, position)).alias("_saved"),
-        F.min_by(skipped, F.when(skip, position)).alias("_skipped"),
+        F.max_by(entry, F.when(save, position)).alias("_saved"),
+        F.min_by(entry, F.when(skip, position)).alias("_skipped"),
     ]
 
 
 def unpack_state(df: DataFrame, keys: Sequence[str] = STATE_KEYS) -> DataFrame:
-    state = F.coalesce("_saved", "_skipped")
-    return df.select(*keys, state["labels"].alias("labels"), state["comments"].alias("comments"))
+    """Stored labels and comment from the two entries: a saved comment is trimmed, a skip's is kept unless blank."""
+    saved, skipped = F.col("_saved"), F.col("_skipped")
+    labels = F.when(saved.isNotNull(), F.coalesce(saved["labels"], F.lit(NO_CHOICE))).when(
+        skipped.isNotNull(), F.lit(SKIPPED)
+    )
+    comments = F.when(saved.isNotNull(), F.nullif(py_strip(saved["comments"]), F.lit(""))).when(
+        nonblank(skipped["comments"]), skipped["comments"]
+    )
+    return df.select(*keys, labels.alias("labels"), comments.alias("comments"))
 
 
 def latest_state(log: DataFrame, order: Sequence[str] = ("ts",), keys: Sequence[str] = STATE_KEYS) -> DataFrame:
