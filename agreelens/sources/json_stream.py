@@ -52,15 +52,15 @@ def read_json_objects(
 
 def _split_indented(spark: SparkSession, path) -> DataFrame:
     text = spark.read.option("lineSep", "\n}\n").text(path)
-    value = F.regexp_replace("value", r"\s+$", "")
+    value = F.rtrim("value", F.lit(" \t\r\n"))
     # The separator took the closing brace away, except from a last object without a final newline.
     closed = F.when(F.endswith(value, F.lit("\n}")), value).otherwise(F.concat(value, F.lit("\n}")))
-    return text.select(
+    return text.filter(value != "").select(
         closed.alias("_json"),
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_start"),
         F.monotonically_increasing_id().alias("_pos"),
-    ).filter(F.regexp_replace("_json", r"[\s}]", "") != "")
+    )
 
 
 def _decode_files(spark: SparkSession, path) -> DataFrame:
