@@ -9,12 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agreelens.llm.common import table
+from agreelens.llm.mixing import mix_sources
+from agreelens.llm.near_dedup import near_duplicate_groups
 from agreelens.llm.packing import pack_documents
+from agreelens.llm.quality import quality_scores
+from agreelens.llm.substrings import remove_repeats
 from agreelens.llm.token_counts import token_counts
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_groups(table(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack_documents(table(spark, sf_dir, "documents"), VOCABULARY)
     return pieces.select(
@@ -26,7 +34,26 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), VOCABULARY, limit=2048)
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_sources(table(spark, sf_dir, "documents"), weights=(1, 2, 3), max_repeats=3)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = remove_repeats(table(spark, sf_dir, "documents"), window=13)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["first"])
+    return parsed.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_dedup": op1_near_dedup,
     "op2_packing": op2_packing,
     "op4_token_counts": op4_token_counts,
+    "op6_mixing": op6_mixing,
+    "op7_substrings": op7_substrings,
+    "op8_quality": op8_quality,
 }
