@@ -55,11 +55,11 @@ def text_figures(docs: DataFrame) -> DataFrame:
 #: neither holds, abstains; detectors of one kind of junk never vote good, for most junk is of another kind.
 RULES: dict[str, tuple[str, str, str, str]] = {
     "symbols": ("n_symbols", "n_words", "x > 0.10", "false"),
-    "repeated_lines": ("n_dup_lines", "n_lines", "x > 0.30", "false"),
+    "repeated_lines": ("n_dup_lines", "n_lines", "x > 0.60", "false"),
     "repeated_words": ("n_repeat_words", "n_words", "x > 0.40", "false"),
     "upper_case": ("n_upper", "n_letters", "x > 0.40", "false"),
     "word_length": ("word_chars", "n_words", "x < 2.5 or x > 14", "false"),
-    "open_lines": ("n_closed", "n_lines", "x < 0.20", "x >= 0.50"),
+    "open_lines": ("n_closed", "n_lines", "x < 0.10", "x >= 0.50"),
     "letters": ("n_letters", "word_chars", "x < 0.60", "false"),
     "short_words": ("n_short_words", "n_words", "x < 0.02", "x >= 0.10"),
 }

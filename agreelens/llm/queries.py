@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agreelens.llm.common import table
+from agreelens.llm.knn import exact_top_k
+from agreelens.llm.line_dedup import remove_repeated_runs
 from agreelens.llm.mixing import mix_sources
 from agreelens.llm.near_dedup import near_duplicate_groups
 from agreelens.llm.packing import pack_documents
 from agreelens.llm.quality import quality_scores
+from agreelens.llm.secrets import scan_secrets, written
 from agreelens.llm.substrings import remove_repeats
 from agreelens.llm.token_counts import token_counts
 
@@ -34,6 +37,11 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), VOCABULARY, limit=2048)
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    freed = remove_repeated_runs(table(spark, sf_dir, "documents"), min_lines=2)
+    return freed.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(table(spark, sf_dir, "documents"), weights=(1, 2, 3), max_repeats=3)
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
@@ -49,11 +57,32 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"))
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_assign",
+        "n_access",
+        "n_hex",
+        F.sha2(written(F.col("base_spans")), 256).alias("base_sha256"),
+        written(F.col("spans")).alias("spans"),
+        "n_owned",
+        "n_copied",
+    )
+
+
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(table(spark, sf_dir, "embeddings"), k=5, query_every=50)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_packing": op2_packing,
     "op4_token_counts": op4_token_counts,
+    "op5_line_dedup": op5_line_dedup,
     "op6_mixing": op6_mixing,
     "op7_substrings": op7_substrings,
     "op8_quality": op8_quality,
+    "op9_secrets": op9_secrets,
+    "op10_top_k": op10_top_k,
 }
