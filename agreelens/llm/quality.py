@@ -39,16 +39,18 @@ def figures_of(text: bytes, hashes: WordHashes) -> tuple[int, ...]:
 
 
 def text_figures(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and the counts the rules look at, from whole texts."""
+    """``doc_id``, a hash of the text as ``copy``, and the counts the rules look at, from whole texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
             rows = [figures_of(t or b"", hashes) for t in batch.column(1).to_pylist()]
             columns = zip(*rows) if rows else [[]] * len(FIGURES)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns)], ["doc_id", *FIGURES])
+            figures = (pa.array(c, pa.int64()) for c in columns)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *figures], ["doc_id", "copy", *FIGURES])
 
-    return docs.mapInArrow(count, "doc_id long, " + ", ".join(f"{f} long" for f in FIGURES))
+    docs = docs.withColumn("copy", F.xxhash64(F.col("text").cast("string")))
+    return docs.mapInArrow(count, "doc_id long, copy long, " + ", ".join(f"{f} long" for f in FIGURES))
 
 
 #: Rule -> (figure, per, bad if, good if): conditions on the share x of two counts. A rule votes bad, good or, where
@@ -128,7 +130,8 @@ def quality_scores(
     limits (``base_failed``): at least ``min_words`` words and at most ``repeat_percent`` % of them in
     three-word runs that occur twice.
 
-    Null and empty texts have no words: all counts 0, base_failed. A null id stays null; repeated rows are
+    ``copy`` is Spark's xxhash64 of the text: it tells rows of one id apart. Null and empty texts have no words:
+    all counts 0, base_failed. A null id stays null; repeated rows are
     scored each. Other columns are ignored. An empty table gives an empty result.
     """
     figures = staged(text_figures(id_and_bytes(docs, id_col, text_col)), "quality").withColumn("votes", votes(rules))
@@ -140,4 +143,4 @@ def quality_scores(
     # One row per vote pattern: at most 3 ** rules rows.
     scored = figures.join(F.broadcast(known), "votes", "left").withColumn("quality", F.coalesce("quality", F.lit(0.0)))
     kept = ~F.col("base_failed") & (F.col("quality") >= threshold)
-    return scored.select("doc_id", *FIGURES[:5], "base_failed", kept.alias("kept"), "quality", "votes")
+    return scored.select("doc_id", *FIGURES[:5], "base_failed", kept.alias("kept"), "quality", "votes", "copy")

@@ -18,6 +18,7 @@ from agreelens.llm.quality import quality_scores
 from agreelens.llm.secrets import scan_secrets, written
 from agreelens.llm.substrings import remove_repeats
 from agreelens.llm.token_counts import token_counts
+from agreelens.llm.toxicity import toxicity_scores
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -33,6 +34,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), VOCABULARY, limit=2048)
 
@@ -54,7 +59,7 @@ def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_scores(table(spark, sf_dir, "documents"))
+    return quality_scores(table(spark, sf_dir, "documents")).drop("copy")
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +83,7 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_packing": op2_packing,
+    "op3_toxicity": op3_toxicity,
     "op4_token_counts": op4_token_counts,
     "op5_line_dedup": op5_line_dedup,
     "op6_mixing": op6_mixing,
