@@ -32,7 +32,8 @@ def doubled(ranks: DataFrame, have: int, step: int) -> DataFrame:
     pairs = ranks.withColumn("next", F.first("rank").over(ahead))
     both = F.col("rank").isNotNull() & F.col("next").isNotNull()
     classes = pairs.where(both).groupBy("rank", "next").agg(F.min("pos").alias("first"), F.count("*").alias("n"))
-    classes = classes.where("n > 1").select("rank", "next", "first")
+    # Written first, so the join deals both sides itself and can split a hot pair.
+    classes = staged(classes.where("n > 1").select("rank", "next", "first"), "line-classes")
     return pairs.join(classes, ["rank", "next"], "left").select("doc_id", "copy", "i", "line", "pos", F.col("first").alias("rank"))
 
 
@@ -45,6 +46,7 @@ def suffix_ranks(docs: DataFrame, depth: int) -> DataFrame:
     """
     suffixes = line_suffixes(docs)
     classes = suffixes.groupBy("name").agg(F.min("pos").alias("first"), F.count("*").alias("n")).where("n > 1")
+    classes = staged(classes.select("name", "first"), "line-classes")
     ranks = suffixes.join(classes, "name").select("doc_id", "copy", "i", "line", "pos", F.col("first").alias("rank"))
     have = 1
     while have < depth:
