@@ -108,21 +108,25 @@ def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.mapInArrow(sets, "doc_id long, shingles binary")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets overlap by at least ``percent`` of their union."""
+def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) with their overlap ``both``, whether it is ``percent`` of the union, and ``rest``, what b has beyond a."""
 
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            overlaps, linked, rests = [], [], []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                rest = np.setdiff1d(y, x, assume_unique=True)
+                both = len(y) - len(rest)
+                overlaps.append(both)
+                linked.append(100 * both >= percent * (len(x) + len(rest)))
+                rests.append(rest.view(np.int64))
+            columns = [pa.array(overlaps, pa.int64()), pa.array(linked, pa.bool_()), pa.array(rests, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["a", "b", "both", "linked", "rest"])
 
     with_b = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
     with_both = with_b.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
-    return with_both.select("a", "b", "x", "y").mapInArrow(confirm, "a long, b long")
+    return with_both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, both long, linked boolean, rest array<long>")
 
 
 def near_duplicate_groups(
@@ -140,7 +144,9 @@ def near_duplicate_groups(
     if they share a band key (two sets 80 % alike miss all 32 bands with probability 3e-6), and linked if
     their full sets agree. A bucket of n classes is not compared n x n: all are compared with its smallest
     class, components are formed, and what is left in another component than the bucket's main one is
-    compared with the others. After that, every two classes of a bucket are in one component or compared.
+    compared with the others, unless the two together cannot reach ``percent``: their overlap is at most what
+    either shares with the smallest class plus what both have beyond it. After that, every two classes of a bucket
+    are in one component, compared, or ruled out.
 
     Empty and null texts have no shingles and are linked with nothing. Rows without an id come back with
     component_id and kept null. Rows with the same id are grouped each by its own text. Other columns are
@@ -159,26 +165,30 @@ def near_duplicate_groups(
     needed = members.select(F.col("rep").alias("doc_id")).distinct()
     sets = shingle_sets(docs.join(needed, "doc_id", "left_semi"), shingle)
     sets = staged(sets.dropDuplicates(["doc_id", "shingles"]), "near-dedup-sets")
-    # By size alone, a pair can be ruled out: the smaller set must hold percent of the larger.
-    fits = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
-    heads = members.where("rep = head").select("bucket", F.col("n").alias("na"))
-    first = members.where("rep > head").join(heads, "bucket").withColumnRenamed("n", "nb").where(fits)
-    first = staged(first.select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct(), "near-dedup-pairs")
-    links = staged(confirmed(first, sets, percent), "near-dedup-links")
+    first = members.where("rep > head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
+    first = staged(compared(first, sets, percent), "near-dedup-compared")
+    links = first.where("linked").select("a", "b")
 
     groups = components(links)
     placed = members.join(groups.withColumnRenamed("node", "rep"), "rep", "left")
-    placed = staged(placed.select("bucket", "rep", "n", F.coalesce("component", "rep").alias("component")), "near-dedup-placed")
+    placed = staged(placed.withColumn("component", F.coalesce("component", "rep")), "near-dedup-placed")
     sizes = placed.groupBy("bucket", "component").count()
-    main = sizes.groupBy("bucket").agg(F.max_by("component", "count").alias("main"), F.count("*").alias("parts"))
-    main = main.where("parts > 1").select("bucket", "main")
-    open_ = placed.join(main, "bucket")
-    left = open_.where("component <> main").select("bucket", F.col("rep").alias("l"), F.col("component").alias("cl"), F.col("n").alias("na"))
-    right = open_.select("bucket", F.col("rep").alias("r"), F.col("component").alias("cr"), F.col("n").alias("nb"), (F.col("component") == F.col("main")).alias("in_main"))
-    second = left.join(right, "bucket").where(f"cl <> cr and (in_main or l < r) and {fits}")
-    second = second.select(F.least("l", "r").alias("a"), F.greatest("l", "r").alias("b")).distinct()
-    second = staged(second.join(first, ["a", "b"], "left_anti"), "near-dedup-pairs")
-    more = staged(confirmed(second, sets, percent), "near-dedup-links")
+    main = sizes.groupBy("bucket").agg(F.max_by("component", "count").alias("main"), F.count("*").alias("parts"), F.sum("count").alias("n_members"))
+    main = main.where("parts > 1 and n_members > 2").select("bucket", "main")
+    # Each member as seen from its bucket's head: what they share, and what the member has beyond it.
+    seen = first.select(F.col("a").alias("head"), F.col("b").alias("rep"), "both", "rest")
+    open_ = placed.join(main, "bucket").join(seen, ["head", "rep"], "left")
+    none = F.array().cast("array<long>")
+    open_ = staged(open_.withColumns({"both": F.coalesce("both", "n"), "rest": F.coalesce("rest", none)}), "near-dedup-open")
+    left = open_.where("component <> main").select("bucket", *(F.col(c).alias(f"{c}_l") for c in ("rep", "component", "n", "both", "rest")))
+    right = open_.select("bucket", (F.col("component") == F.col("main")).alias("in_main"), *(F.col(c).alias(f"{c}_r") for c in ("rep", "component", "n", "both", "rest")))
+    # Two members share at most what either shares with the head, and what both have beyond it.
+    most = "(least(both_l, both_r) + size(array_intersect(rest_l, rest_r)))"
+    fits = f"100 * least(n_l, n_r) >= {percent} * greatest(n_l, n_r) and 100 * {most} >= {percent} * (n_l + n_r - {most})"
+    second = left.join(right, "bucket").where(f"component_l <> component_r and (in_main or rep_l < rep_r) and {fits}")
+    second = second.select(F.least("rep_l", "rep_r").alias("a"), F.greatest("rep_l", "rep_r").alias("b")).distinct()
+    second = second.join(first.select("a", "b"), ["a", "b"], "left_anti")
+    more = staged(compared(second, sets, percent).where("linked").select("a", "b"), "near-dedup-links")
     if not more.isEmpty():
         groups = components(links.union(more))
 
