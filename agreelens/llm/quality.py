@@ -53,36 +53,41 @@ def text_figures(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(count, "doc_id long, copy long, " + ", ".join(f"{f} long" for f in FIGURES))
 
 
-#: Rule -> (figure, per, bad if, good if): conditions on the share x of two counts. A rule votes bad, good or, where
-#: neither holds, abstains; detectors of one kind of junk never vote good, for most junk is of another kind.
-RULES: dict[str, tuple[str, str, str, str]] = {
-    "symbols": ("n_symbols", "n_words", "x > 0.10", "false"),
-    "repeated_lines": ("n_dup_lines", "n_lines", "x > 0.60", "false"),
-    "repeated_words": ("n_repeat_words", "n_words", "x > 0.40", "false"),
-    "upper_case": ("n_upper", "n_letters", "x > 0.40", "false"),
-    "word_length": ("word_chars", "n_words", "x < 2.5 or x > 14", "false"),
-    "open_lines": ("n_closed", "n_lines", "x < 0.10", "x >= 0.50"),
-    "letters": ("n_letters", "word_chars", "x < 0.60", "false"),
-    "short_words": ("n_short_words", "n_words", "x < 0.02", "x >= 0.10"),
+Rules = dict[str, tuple[str, str, str, str, float]]
+#: Rule -> (figure, per, bad if, good if, least odds): conditions on the share x of two counts. A rule votes bad, good or,
+#: where neither holds, abstains; detectors of one kind of junk never vote good, for most junk is of another kind. Least
+#: odds: how many times likelier its bad vote is held to be for bad documents at least, whatever is estimated.
+RULES: Rules = {
+    "symbols": ("n_symbols", "n_words", "x > 0.10", "false", 100.0),
+    "repeated_lines": ("n_dup_lines", "n_lines", "x > 0.60", "false", 10.0),
+    "repeated_words": ("n_repeat_words", "n_words", "x > 0.40", "false", 100.0),
+    "upper_case": ("n_upper", "n_letters", "x > 0.40", "false", 100.0),
+    "word_length": ("word_chars", "n_words", "x < 2.5 or x > 14", "false", 10.0),
+    "open_lines": ("n_closed", "n_lines", "x < 0.10", "x >= 0.50", 1.0),
+    "letters": ("n_letters", "word_chars", "x < 0.60", "false", 10.0),
+    "short_words": ("n_short_words", "n_words", "x < 0.02", "x >= 0.10", 1.0),
 }
 
 
-def votes(rules: dict[str, tuple[str, str, str, str]]) -> Column:
+def votes(rules: Rules) -> Column:
     """One letter per rule: ``b`` bad, ``g`` good, ``-`` abstains (also where the share has no base)."""
     letters = []
-    for figure, per, bad, good in rules.values():
+    for figure, per, bad, good, _ in rules.values():
         share = f"({figure} / {per})"
         bad, good = bad.replace("x", share), good.replace("x", share)
         letters.append(F.expr(f"case when {per} = 0 then '-' when {bad} then 'b' when {good} then 'g' else '-' end"))
     return F.concat(*letters)
 
 
-def label_model(patterns: dict[str, int], steps: int = 200, weight: float = 0.3, start_bad: float = 0.85) -> dict[str, float]:
+def label_model(
+    patterns: dict[str, int], rules: Rules = RULES, steps: int = 200, weight: float = 0.3, start_bad: float = 0.85
+) -> dict[str, float]:
     """Vote pattern -> probability of good quality, by expectation-maximisation over pattern counts.
 
     Two classes; given the class, every rule votes bad, good or abstains on its own, with probabilities
     that the data set. A prior worth ``weight`` of the rows holds each rule to the side of its own vote: the
-    class called bad stays the one in which rules vote bad. Deterministic; the size of the input
+    class called bad stays the one in which rules vote bad; without the rules' least odds, a common kind of junk that
+    only one rule sees would count as a trait of good documents. Deterministic; the size of the input
     enters only through the counts.
     """
     keys = sorted(patterns)
@@ -91,6 +96,7 @@ def label_model(patterns: dict[str, int], steps: int = 200, weight: float = 0.3,
     counts = np.array([patterns[k] for k in keys], float)
     cast = np.array([["bg-".index(v) for v in k] for k in keys])
     n_rules = cast.shape[1]
+    least = np.log([rule[4] for rule in rules.values()])
     any_bad = (cast == 0).any(axis=1)
     good = np.where(any_bad, 1 - start_bad, 0.98)
     total = counts.sum()
@@ -104,7 +110,7 @@ def label_model(patterns: dict[str, int], steps: int = 200, weight: float = 0.3,
             rates = cells / cells.sum(axis=1, keepdims=True)
             # A bad vote never counts for good quality, nor a good vote against it.
             gain = np.log(rates[0] / rates[1])
-            gain = np.array([min(gain[0], 0.0), max(gain[1], 0.0), 0.0])
+            gain = np.array([min(gain[0], -least[r]), max(gain[1], 0.0), 0.0])
             odds += gain[cast[:, r]]
         new = 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
         if np.abs(new - good).max() < 1e-10:
@@ -115,7 +121,7 @@ def label_model(patterns: dict[str, int], steps: int = 200, weight: float = 0.3,
 
 def quality_scores(
     docs: DataFrame,
-    rules: dict[str, tuple[str, str, str, str]] = RULES,
+    rules: Rules = RULES,
     threshold: float = 0.5,
     min_words: int = 50,
     repeat_percent: int = 50,
@@ -138,7 +144,7 @@ def quality_scores(
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
     figures = figures.withColumn("base_failed", failed)
     counts = {r["votes"]: r["count"] for r in figures.where("n_words > 0").groupBy("votes").count().collect()}
-    model = label_model(counts)
+    model = label_model(counts, rules)
     known = figures.sparkSession.createDataFrame(list(model.items()) or [("", 0.0)], "votes string, quality double")
     # One row per vote pattern: at most 3 ** rules rows.
     scored = figures.join(F.broadcast(known), "votes", "left").withColumn("quality", F.coalesce("quality", F.lit(0.0)))
