@@ -58,10 +58,10 @@ Rules = dict[str, tuple[str, str, str, str, float]]
 #: where neither holds, abstains; detectors of one kind of junk never vote good, for most junk is of another kind. Least
 #: odds: how many times likelier its bad vote is held to be for bad documents at least, whatever is estimated.
 RULES: Rules = {
-    "symbols": ("n_symbols", "n_words", "x > 0.10", "false", 100.0),
+    "symbols": ("n_symbols", "n_words", "x > 0.10", "false", 300.0),
     "repeated_lines": ("n_dup_lines", "n_lines", "x > 0.60", "false", 10.0),
-    "repeated_words": ("n_repeat_words", "n_words", "x > 0.40", "false", 100.0),
-    "upper_case": ("n_upper", "n_letters", "x > 0.40", "false", 100.0),
+    "repeated_words": ("n_repeat_words", "n_words", "x > 0.40", "false", 300.0),
+    "upper_case": ("n_upper", "n_letters", "x > 0.40", "false", 300.0),
     "word_length": ("word_chars", "n_words", "x < 2.5 or x > 14", "false", 10.0),
     "open_lines": ("n_closed", "n_lines", "x < 0.10", "x >= 0.50", 1.0),
     "letters": ("n_letters", "word_chars", "x < 0.60", "false", 10.0),
