@@ -104,7 +104,8 @@ def label_model(
     prior = weight * total * np.array([[0.02, 0.88, 0.10], [0.30, 0.50, 0.20]])
     for _ in range(steps):
         share = np.array([(counts * good).sum() + weight * total * 0.8, (counts * (1 - good)).sum() + weight * total * 0.2])
-        odds = np.tile(np.log(share[0] / share[1]), len(keys))
+        # However much junk there is, a document without a vote against it is taken for good four to one.
+        odds = np.tile(max(np.log(share[0] / share[1]), np.log(4.0)), len(keys))
         for r in range(n_rules):
             cells = np.stack([[((counts * p) * (cast[:, r] == v)).sum() for v in range(3)] for p in (good, 1 - good)]) + prior
             rates = cells / cells.sum(axis=1, keepdims=True)
