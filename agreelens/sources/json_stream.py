@@ -24,7 +24,9 @@ def read_json_objects(
     """Objects as rows, with ``_corrupt_record`` holding the text of damaged ones.
 
     ``style="indented"``: every object closes with a brace in the first column, as pretty-printing writers
-    produce. That line is used as the record separator, so large files are split between tasks.
+    produce. That line is used as the record separator, so large files are split between tasks. A chunk that is not exactly
+    one object (one-line objects, Windows line ends, mixed or damaged files) is decoded object by object, so none is
+    lost; such a file is one chunk, and so one task, where it has no separator.
     ``style="any"``: objects on one line or many, with any spacing; each file is decoded by one task.
 
     ``on_bad``: "null" keeps a damaged object as a row of NULLs, "drop" leaves it out, "fail" stops the job,
@@ -34,7 +36,7 @@ def read_json_objects(
         raise ValueError(f"unknown on_bad {on_bad!r}, expected one of {_ON_BAD}")
     schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     if style == "indented":
-        raw = _split_indented(spark, path)
+        raw = _split_indented(spark, path, schema)
     elif style == "any":
         raw = _decode_files(spark, path)
     else:
@@ -50,23 +52,58 @@ def read_json_objects(
     return parsed.filter(F.col(CORRUPT).isNull()) if on_bad == "drop" else parsed
 
 
-def _split_indented(spark: SparkSession, path) -> DataFrame:
+def _split_indented(spark: SparkSession, path, schema: T.StructType) -> DataFrame:
     text = spark.read.option("lineSep", "\n}\n").text(path)
     value = F.rtrim("value", F.lit(" \t\r\n"))
     # The separator took the closing brace away, except from a last object without a final newline.
     closed = F.when(F.endswith(value, F.lit("\n}")), value).otherwise(F.concat(value, F.lit("\n}")))
-    return text.filter(value != "").select(
+    chunks = text.filter(value != "").select(
         closed.alias("_json"),
+        value.alias("_value"),
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_start"),
         F.monotonically_increasing_id().alias("_pos"),
     )
+    # Inside brackets a second object is a parse error instead of being passed over.
+    alone = F.from_json(F.concat(F.lit("["), F.col("_json"), F.lit("]")), T.ArrayType(schema))
+    single = F.coalesce(F.size(alone) == 1, F.lit(False))
+    whole = chunks.filter(single).select("_json", "_file", "_start", "_pos", F.lit(0).cast("long").alias("_sub"))
+    return whole.union(chunks.filter(~single).mapInPandas(_decode_chunks, _PLACED))
+
+
+_PLACED = "_json string, _file string, _start bigint, _pos bigint, _sub bigint"
+
+
+def _objects(text: str) -> tuple[list[str], bool]:
+    """The objects in a text, and whether all of it could be read; an unreadable rest is the last of them."""
+    decoder, out, at = json.JSONDecoder(), [], 0
+    while True:
+        while at < len(text) and text[at].isspace():
+            at += 1
+        if at >= len(text):
+            return out, True
+        try:
+            _, end = decoder.raw_decode(text, at)
+        except ValueError:
+            return [*out, text[at:]], False
+        out.append(text[at:end])
+        at = end
+
+
+def _decode_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for row in batch.itertuples(index=False):
+            # Whether the separator took a brace from this chunk cannot be seen; the reading without damage is right.
+            value, closed, file, start, pos = row[1], row[0], row[2], row[3], row[4]
+            plain, readable = _objects(value)
+            found = plain if readable else _objects(closed)[0]
+            yield pd.DataFrame({"_json": found, "_file": file, "_start": start, "_pos": pos, "_sub": range(len(found))})
 
 
 def _decode_files(spark: SparkSession, path) -> DataFrame:
     files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("_file"))
 
-    columns = ["_json", "_file", "_start", "_pos"]
+    columns = ["_json", "_file", "_start", "_pos", "_sub"]
 
     def objects(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         decoder = json.JSONDecoder()
@@ -83,7 +120,7 @@ def _decode_files(spark: SparkSession, path) -> DataFrame:
                     except ValueError:
                         # Nothing after the damage can be told apart; hand on the rest as one bad record.
                         end = len(text)
-                    rows.append((text[at:end], file, 0, place))
+                    rows.append((text[at:end], file, 0, 0, place))
                     at, place = end, place + 1
                     if len(rows) >= 10_000:
                         yield pd.DataFrame(rows, columns=columns)
@@ -91,14 +128,14 @@ def _decode_files(spark: SparkSession, path) -> DataFrame:
                 if rows:
                     yield pd.DataFrame(rows, columns=columns)
 
-    return files.mapInPandas(objects, "_json string, _file string, _start bigint, _pos bigint")
+    return files.mapInPandas(objects, _PLACED)
 
 
 def _until_damage(raw: DataFrame, schema: T.StructType) -> DataFrame:
     """Rows before the first damaged object of their file; the join side has one row per damaged file."""
     probe = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
     parsed = F.from_json("_json", probe, {"columnNameOfCorruptRecord": CORRUPT})
-    place = F.struct("_start", "_pos")
+    place = F.struct("_start", "_pos", "_sub")
     first = (
         raw.filter(parsed[CORRUPT].isNotNull()).groupBy("_file").agg(F.min(place).alias("_first_bad"))
     )

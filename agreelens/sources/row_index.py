@@ -13,24 +13,25 @@ from ..session import shared_dir
 def with_row_index(df: DataFrame, order: Sequence[str | Column], name: str = "row_id") -> DataFrame:
     """Add 0-based positions in the total order given by ``order``.
 
-    The rows are range-sorted and written to the shared work folder, one file per task in order. A row's
-    position is its index within the file plus the number of rows in earlier files; that list is as long as
-    the sort has tasks. Numbers are fixed once written, however often the result is read or recomputed, and
-    no row passes through Python or through a single task, as it would in a window without partition key.
+    The rows are range-sorted and written to the shared work folder with their task and their place in it, both
+    of which ``monotonically_increasing_id`` holds. A row's position is that place plus the number of rows of
+    earlier tasks; that list is as long as the sort has tasks. How many files a task writes does not matter.
+    Numbers are fixed once written, however often the result is read or recomputed, and no row passes through
+    Python or through a single task, as it would in a window without partition key.
     """
     spark = df.sparkSession
     path = shared_dir(spark, "row-index")
-    df.orderBy(*order).write.parquet(path)
+    placed = df.orderBy(*order).withColumn("_place", F.monotonically_increasing_id())
+    placed.write.parquet(path)
     # An explicit schema spares a look at the files, and an empty result leaves none.
-    staged = spark.read.schema(df.schema).parquet(path)
-    task = F.regexp_extract(F.col("_metadata.file_name"), r"^part-([0-9]+)", 1).cast("int")
-    files = staged.groupBy(task.alias("_task")).agg(F.count(F.lit(1)).alias("_rows"))
+    staged = spark.read.schema(placed.schema).parquet(path)
+    task = F.shiftright("_place", 33)
+    tasks = staged.groupBy(task.alias("_task")).agg(F.count(F.lit(1)).alias("_rows"))
     before = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = files.select("_task", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
-    placed = staged.select("*", task.alias("_task"), F.col("_metadata.row_index").alias("_index"))
-    position = (F.col("_offset") + F.col("_index")).alias(name)
+    offsets = tasks.select("_task", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
+    position = (F.col("_offset") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))).alias(name)
     columns = [F.col(f"`{c}`") for c in df.columns]
-    return placed.join(F.broadcast(offsets), "_task").select(*columns, position)
+    return staged.withColumn("_task", task).join(F.broadcast(offsets), "_task").select(*columns, position)
 
 
 def with_file_order(df: DataFrame, name: str = "row_id") -> DataFrame:

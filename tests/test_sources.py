@@ -199,3 +199,23 @@ def test_prompts(spark):
     assert (body["model"], body["max_tokens"], body["reasoning"], body["temperature"]) == ("org/m", 100, {"enabled": True}, 0.5)
     cleaned = PR.prompt_input(spark.createDataFrame([(" a\n",), (None,)], "llm_prompt string")).collect()
     assert [r[0] for r in cleaned] == ["a", ""]
+
+
+@pytest.mark.parametrize("on_bad", ["null", "fail", "stop"])
+def test_default_style_loses_no_object(spark, tmp_path, on_bad):
+    one_line = '{"a": 1}\n{"a": 2}\n{"a": 3}\n'
+    indented = '{\n  "a": 4\n}\n{\n  "a": 5\n}\n'
+    for i, text in enumerate((one_line, indented.replace("\n", "\r\n"), one_line + indented, indented + one_line)):
+        path = tmp_path / f"{i}.json"
+        path.write_bytes(text.encode())
+        got = sorted(r["a"] for r in json_stream.read_json_objects(spark, str(path), "a int", on_bad=on_bad).collect())
+        assert got == [[1, 2, 3], [4, 5], [1, 2, 3, 4, 5], [1, 2, 3, 4, 5]][i]
+
+
+def test_row_index_holds_when_a_task_writes_many_files(spark):
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "7")
+    try:
+        rows = with_row_index(spark.range(500).repartition(6), ["id"], "place").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    assert all(r["id"] == r["place"] for r in rows) and len(rows) == 500
