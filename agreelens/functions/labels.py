@@ -47,7 +47,8 @@ def item_id_from(custom_id: Column) -> Column:
 def code_to_letter(code: Column, legacy: Column) -> Column:
     """Integer code to letter: the chosen convention first, then the newer, then the older one."""
     older, newer = literal_map(LEGACY_CODES), literal_map(PREFERRED_CODES)
-    code = code.cast("int")
+    # A code beyond the range of int is no label.
+    code = code.try_cast("int")
     chosen = F.when(legacy, F.try_element_at(older, code)).otherwise(F.try_element_at(newer, code))
     return F.coalesce(chosen, F.try_element_at(newer, code), F.try_element_at(older, code))
 

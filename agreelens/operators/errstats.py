@@ -91,7 +91,9 @@ def contingency(
     pairs = F.array(
         *[F.struct(F.lit(name).alias("feature"), category(col).alias("value")) for name, col in found.items()]
     )
-    long = df.select(*keys, F.col(error).alias("_err"), F.inline(pairs)).filter(F.col("value").isNotNull())
+    long = df.select(*keys, F.col(error).alias("_err"), F.inline(pairs))
+    # Rows without a flag count for no value, so a value with no other rows does not appear.
+    long = long.filter(F.col("value").isNotNull() & F.col("_err").isNotNull())
     return long.groupBy(*keys, "feature", "value").agg(
         F.count_if(F.col("_err") == 1).alias("errors"), F.count_if(F.col("_err") == 0).alias("non_errors")
     )

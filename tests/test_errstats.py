@@ -123,3 +123,9 @@ def test_high_cardinality_feature_stays_distributed(spark):
     assert plan.head()["value_count"] == 20_000
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in text and "SinglePartition" not in text
+
+
+def test_value_without_a_flag_is_left_out(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 0), ("b", None)], "kind string, error_flag int")
+    rows = E.contingency(df, ["kind"]).collect()
+    assert [(r["value"], r["errors"], r["non_errors"]) for r in rows] == [("a", 1, 1)]

@@ -81,3 +81,9 @@ def test_fixed_point_and_path(spark):
     df = spark.createDataFrame([(2 / 3, "org/name")], "x double, m string")
     row = df.select(TX.fixed_point(F.col("x"), 6), TX.path_safe(F.col("m"))).head()
     assert list(row) == ["0.666667", "org_name"]
+
+
+def test_code_beyond_int_is_no_label(spark):
+    df = spark.createDataFrame([(3_000_000_000,), (1,)], "code bigint")
+    got = [r[0] for r in df.select(L.code_to_letter(F.col("code"), F.lit(False))).collect()]
+    assert got[0] is None and got[1] is not None
