@@ -21,7 +21,7 @@ def extract_label(text: Column, mode: str = "word") -> Column:
 
     ``word``: a full label word anywhere. ``letter``: the letter e, then c, then n anywhere, so that
     "neutral" reads as entailment. ``letter_after_marker``: the same letters, looked for only after the
-    prediction flag when the text has one.
+    last prediction flag when the text has one: an echoed prompt holds the flag itself.
     """
     lowered = F.lower(text)
     if mode == "word":
@@ -31,8 +31,7 @@ def extract_label(text: Column, mode: str = "word") -> Column:
         )
     if mode == "letter_after_marker":
         flag = PREDICTION_FLAG.lower()
-        after = F.split_part(lowered, F.lit(flag), F.lit(2))
-        lowered = F.when(F.contains(lowered, F.lit(flag)), after).otherwise(lowered)
+        lowered = F.split_part(lowered, F.lit(flag), F.lit(-1))
     elif mode != "letter":
         raise ValueError(f"unknown extraction mode {mode!r}")
     return _first_contained(lowered, [("e", "entailment"), ("c", "contradiction"), ("n", "neutral")])

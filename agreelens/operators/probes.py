@@ -33,9 +33,14 @@ MAX_DRIVER_GROUPS = 100_000
 def probe_input(
     items: DataFrame, max_samples: int | None = None, order: Sequence[str] = ("row_id",)
 ) -> DataFrame:
-    """Items with ``text``, integer ``label`` and ``group``; an unknown label name stops the job."""
+    """Items with ``text``, integer ``label`` and ``group``; an unknown label name stops the job.
+
+    Empty cells, as CSV files have them, count as missing.
+    """
     require_columns(items, ["Context", "Target", "gold_label", "Verb"])
-    df = first_rows(items, max_samples, order).dropna(subset=["Context", "Target", "gold_label"])
+    df = first_rows(items, max_samples, order)
+    df = df.withColumns({c: F.nullif(F.col(c), F.lit("")) for c in ("Context", "Target", "gold_label", "Verb")})
+    df = df.dropna(subset=["Context", "Target", "gold_label"])
     name = F.lower(py_strip(F.col("gold_label")))
     unknown = F.raise_error(F.concat(F.lit("unknown gold label: "), name)).cast("int")
     return (

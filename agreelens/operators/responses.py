@@ -53,8 +53,16 @@ def dedupe_gold(gold: DataFrame, key: str = "item_id", order: Sequence[str] = ("
     return gold.groupBy(key).agg(last.alias("_last")).select(key, *[F.col("_last")[c].alias(c) for c in rest])
 
 
-def match_gold(preds: DataFrame, gold: DataFrame, on: str = "item_id", salts: int = 1) -> DataFrame:
-    """Inner join; predictions without gold drop out and repeated predictions all stay."""
+def match_gold(
+    preds: DataFrame, gold: DataFrame, on: str = "item_id", salts: int = 1, order: Sequence[str] | None = None
+) -> DataFrame:
+    """Inner join; predictions without gold drop out and repeated predictions all stay.
+
+    With ``order``, the last gold row of an id by these columns counts. Without it ids of ``gold`` must be
+    unique: a repeated one repeats its predictions.
+    """
+    if order:
+        gold = dedupe_gold(gold, on, order)
     return splittable_join(preds, gold, [on], "inner", salts)
 
 
@@ -63,10 +71,12 @@ def unmatched(preds: DataFrame, gold: DataFrame, on: str = "item_id") -> DataFra
     return splittable_join(preds, gold.select(on), [on], "left_anti")
 
 
-def detailed_records(preds: DataFrame, gold: DataFrame, on: str = "item_id", salts: int = 1) -> DataFrame:
+def detailed_records(
+    preds: DataFrame, gold: DataFrame, on: str = "item_id", salts: int = 1, order: Sequence[str] | None = None
+) -> DataFrame:
     """One record per matched prediction: labels, texts and every item column."""
     item_columns = [c for c in gold.columns if c not in (on, "gold_label", "entropy_class")]
-    joined = match_gold(preds, gold, on, salts)
+    joined = match_gold(preds, gold, on, salts, order)
     return joined.select(
         "custom_id",
         "predicted_label",

@@ -311,7 +311,9 @@ def extract_word(spark, sf_dir):
 @register
 def extract_letter_after_marker(spark, sf_dir):
     prompts = PR.add_prompt(W.pairs(spark, sf_dir))
-    answered = F.concat(F.col("llm_prompt"), F.col("hypothesis"))
+    # Responses that echo the prompt, with every answer in turn and one without a label.
+    answer = F.element_at(F.array(*map(F.lit, ("E", "N", "C", "?"))), (F.col("turn") % 4 + 1).cast("int"))
+    answered = F.concat(F.col("llm_prompt"), F.lit(" "), answer)
     return prompts.select("conv_id", "turn", extract_label(answered, "letter_after_marker").alias("label"))
 
 

@@ -29,6 +29,12 @@ def test_extractors(spark, mode, expected):
     assert column(spark, texts, lambda c: L.extract_label(c, mode)) == expected
 
 
+@pytest.mark.parametrize("answer, label", [("E", "entailment"), ("n", "neutral"), ("C", "contradiction"), ("?", "unknown"), ("", "unknown")])
+def test_answer_after_echoed_prompt(spark, answer, label):
+    text = "Give one label after the flag '[PREDICTION]:'.\n\n[CONTEXT]: ice\n[PREDICTION]: " + answer
+    assert column(spark, [text], lambda c: L.extract_label(c, "letter_after_marker")) == [label]
+
+
 @settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.text(max_size=30), min_size=1, max_size=20))
 def test_extractors_are_total(spark, texts):

@@ -4,6 +4,7 @@ from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.sql import functions as F
 
 from agreelens.operators import probes as P
+from agreelens.sources.tables import read_csv
 
 
 def reps(spark, n=60, classes=3, layers=2, seed=0):
@@ -126,3 +127,10 @@ def test_probe_input(spark):
     bad = spark.createDataFrame([(0, "c", "t", "maybe", "v")], df.schema)
     with pytest.raises(Exception, match="unknown gold label: maybe"):
         P.probe_input(bad).collect()
+
+
+def test_probe_input_empty_cells_of_a_csv_are_missing(spark, tmp_path):
+    path = tmp_path / "items.csv"
+    path.write_text("row_id,Context,Target,gold_label,Verb\n0,,t,neutral,v\n1,c,t,neutral,\n2,c,t,,v\n3,c,,neutral,v\n4,c,t,entailment,v\n")
+    rows = P.probe_input(read_csv(spark, str(path))).select("row_id", "group").collect()
+    assert sorted(tuple(r) for r in rows) == [("1", P.NO_GROUP), ("4", "v")]

@@ -39,6 +39,13 @@ def test_dedupe_last_wins(spark):
     assert got == [("1", 5, "b"), ("2", 1, None)]
 
 
+def test_match_gold_last_row_counts(spark):
+    preds = spark.createDataFrame([("1", "x"), ("1", "y"), ("2", "z")], "item_id string, p string")
+    gold = spark.createDataFrame([("1", 5, "b"), ("1", 0, "a"), ("2", 1, "c")], "item_id string, row_id int, g string")
+    rows = R.match_gold(preds, gold, order=["row_id"]).select("item_id", "p", "g").collect()
+    assert sorted(tuple(r) for r in rows) == [("1", "x", "b"), ("1", "y", "b"), ("2", "z", "c")]
+
+
 @pytest.mark.parametrize("salts", [1, 4])
 def test_match_keeps_repeats_and_drops_unmatched(spark, salts):
     preds = spark.createDataFrame([("1", "x")] * 5 + [("2", "y"), ("7", "z"), (None, "n")], "item_id string, p string")
