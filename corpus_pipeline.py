@@ -15,34 +15,58 @@ from agreelens.llm.queries import VOCABULARY
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the label model, or a base limit, rejects go; rows are told apart by id and text."""
+    """Documents that the label model, or a base limit, rejects go; rows are told apart by id and text.
+
+    Null and empty texts go. Repeated rows and rows without an id are judged like others.
+    """
     good = quality_scores(docs).where("kept").select(F.col("doc_id").alias("of"), F.col("copy").alias("which")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("of")) & (F.xxhash64("text") == F.col("which"))
+    same = docs["doc_id"].eqNullSafe(good["of"]) & (F.xxhash64(docs["text"]) == good["which"])
     return docs.join(good, same, "left_semi")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of runs of two or more lines go, and documents of which nothing is left."""
-    freed = remove_repeated_runs(docs, min_lines=2).where((F.col("n_removed") == 0) | F.col("text").rlike(WORD))
+    """Later copies of runs of two or more lines go, and documents of which nothing is left.
+
+    Texts that lose nothing stay as they are, null and empty ones too; ``n_chars`` follows the text where it changes.
+    """
+    # The operator's own counts must not replace columns of these names.
+    own = {c: f"{c} of docs" for c in ("n_lines", "n_removed") if c in docs.columns}
+    freed = remove_repeated_runs(docs.withColumnsRenamed(own), min_lines=2)
+    freed = freed.where((F.col("n_removed") == 0) | F.col("text").rlike(WORD))
     changed = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
-    return freed.withColumn("n_chars", changed.cast("long")).select(*docs.columns)
+    freed = freed.withColumn("n_chars", changed.cast("long"))
+    return freed.select(*(F.col(own.get(c, c)).alias(c) for c in docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, of equal rows one; rows without an id all stay."""
-    gone = near_duplicate_groups(docs, shingle=5, percent=80).where("not kept").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").withColumn("copy", F.xxhash64("text"))
-    equal = F.row_number().over(Window.partitionBy("doc_id", "copy").orderBy("source"))
-    return left.withColumn("equal", equal).where("equal = 1 or doc_id is null").select(*docs.columns)
+    """One document of each group of near copies stays, the one with the smallest id.
+
+    Of rows equal in id and text one stays (the first by source). Rows of one id are one document: it goes whole if any
+    of its texts is a near copy of a text under a smaller id. Rows without an id, and texts without words, all stay.
+    """
+    gone = near_duplicate_groups(docs, shingle=5, percent=80).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
+    rows = docs.select(
+        F.struct(*(docs[c] for c in docs.columns)).alias("row"),
+        docs["doc_id"].alias("id"),
+        F.xxhash64(docs["text"]).alias("copy"),
+        # Rows without an id are each on their own, and so spread over all tasks.
+        F.when(docs["doc_id"].isNull(), F.monotonically_increasing_id()).alias("alone"),
+    )
+    left = rows.join(gone, rows["id"] == gone["gone"], "left_anti")
+    equal = F.row_number().over(Window.partitionBy("id", "copy", "alone").orderBy("row.source"))
+    return left.withColumn("equal", equal).where("equal = 1").select("row.*")
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix itself: documents stand in it as often, and as far, as their source's quota takes them."""
+    """The mix itself: documents stand in it as often, and as far, as their source's quota takes them.
+
+    Null and empty texts, which no quota takes, leave; a null source is a source; ``n_chars`` is that of the text.
+    """
     return mix_documents(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Training sequences of 4,096 token ids, one row per piece."""
+    """Training sequences of 4,096 token ids, one row per piece; a null or empty text is its end id alone."""
     return pack_documents(docs, VOCABULARY)
 
 
@@ -54,7 +78,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: The tokenizer and the label model are beyond SQL; the tests hold the stages against brute force.
+#: The tokenizer and the label model are beyond SQL; tests/llm/test_pipeline.py holds each stage against brute force.
 ORACLE_SQL = None
 
 
