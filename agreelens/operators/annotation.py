@@ -83,24 +83,24 @@ def ensure_columns(df: DataFrame, row_id: str = "sample_id") -> DataFrame:
 
 
 def resume_position(sheet: DataFrame, resume_compat: bool = False) -> DataFrame:
-    """First unlabelled sample per annotator, 0 when all are done.
+    """Position of the first unlabelled sample per annotator, 0 when all are done.
 
-    ``resume_compat`` also takes the stored text ``None`` as unlabelled, as a reload through a reader with
+    ``position`` numbers the sample table from 0 (``sources.row_index``), whatever its ids. ``resume_compat`` also takes the stored text ``None`` as unlabelled, as a reload through a reader with
     default missing values would.
     """
     open_ = F.col("labels").isNull()
     if resume_compat:
         open_ = open_ | (F.col("labels") == NO_CHOICE)
     return sheet.groupBy("annotator_id").agg(
-        F.coalesce(F.min(F.when(open_, F.col("sample_id"))), F.lit(0)).alias("resume_at")
+        F.coalesce(F.min(F.when(open_, F.col("position"))), F.lit(0)).alias("resume_at")
     )
 
 
 def progress(sheet: DataFrame) -> DataFrame:
-    """Samples, labelled share, and the share the position bar shows."""
+    """Samples, labelled share, and the share the position bar shows, from the sheet's ``position``."""
     total = F.count(F.lit(1))
     labelled = F.count("labels")
-    first_open = F.coalesce(F.min(F.when(F.col("labels").isNull(), F.col("sample_id"))), F.lit(0))
+    first_open = F.coalesce(F.min(F.when(F.col("labels").isNull(), F.col("position"))), F.lit(0))
     return sheet.groupBy("annotator_id").agg(
         total.alias("total"),
         labelled.alias("labelled"),

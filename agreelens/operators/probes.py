@@ -12,7 +12,6 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
-import numpy as np
 from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -27,8 +26,6 @@ from ..sources.row_index import first_rows, with_row_index
 from .joins import splittable_join
 from .metrics import classification_report, confusion_counts
 
-MAX_DRIVER_GROUPS = 100_000
-
 
 def probe_input(
     items: DataFrame, max_samples: int | None = None, order: Sequence[str] = ("row_id",)
@@ -62,25 +59,18 @@ def fold_table(
     df: DataFrame,
     n_splits: int,
     seed: int = 7,
-    mode: str = "spread",
     group: str = "group",
     label: str = "label",
     order_by: str = "hash",
 ) -> DataFrame:
     """``group -> fold``: no group in two folds, classes spread evenly over folds.
 
-    ``spread`` runs fully distributed: groups are sorted by their dominant class and, within it, by a seeded
-    hash (or by name with ``order_by="group"``), and dealt out in turn. ``greedy`` puts groups one at a time,
-    most uneven first, where they leave class shares most even; it works on the group table in the driver
-    and refuses more than ``MAX_DRIVER_GROUPS`` groups.
+    Groups are sorted by their dominant class and, within it, by a seeded hash (or by name with
+    ``order_by="group"``), and dealt out in turn, all of it distributed.
     """
     counts = df.groupBy(F.col(group).alias("group"), F.col(label).alias("label")).agg(
         F.count(F.lit(1)).alias("n")
     )
-    if mode == "greedy":
-        return _greedy_folds(counts, n_splits, seed)
-    if mode != "spread":
-        raise ValueError(f"unknown mode {mode!r}")
     dominant = F.max_by("label", F.struct(F.col("n"), (-F.col("label")).alias("low")))
     groups = counts.groupBy("group").agg(dominant.alias("_class"))
     within = F.col("group") if order_by == "group" else F.xxhash64(F.col("group"), F.lit(seed))
@@ -88,30 +78,6 @@ def fold_table(
     return dealt.select("group", F.pmod("_place", F.lit(n_splits)).cast("int").alias("fold"))
 
 
-def _greedy_folds(counts: DataFrame, n_splits: int, seed: int) -> DataFrame:
-    spark = counts.sparkSession
-    n_groups = counts.agg(F.count_distinct("group")).head()[0]
-    if n_groups > MAX_DRIVER_GROUPS:
-        raise ValueError(f"{n_groups} groups are too many for greedy folds, use mode='spread'")
-    table = counts.toPandas().pivot_table(index="group", columns="label", values="n", fill_value=0, aggfunc="sum")
-    table = table.iloc[np.random.default_rng(seed).permutation(len(table))]
-    sizes = table.to_numpy(dtype="float64")
-    totals = sizes.sum(axis=0)
-    filled = np.zeros((n_splits, sizes.shape[1]))
-    fold_of = np.zeros(len(table), dtype=int)
-    for i in np.argsort(-sizes.std(axis=1), kind="stable"):
-        # Class shares of every fold, once for each fold the group could go to.
-        trial = np.repeat(filled[None], n_splits, axis=0)
-        trial[np.arange(n_splits), np.arange(n_splits)] += sizes[i]
-        unevenness = (trial / totals).std(axis=1).mean(axis=1)
-        load = filled.sum(axis=1)
-        fold_of[i] = np.lexsort((load, np.round(unevenness, 12)))[0]
-        filled[fold_of[i]] += sizes[i]
-    rows = [(g.item() if hasattr(g, "item") else g, int(f)) for g, f in zip(table.index, fold_of)]
-    group_type = counts.schema["group"].dataType.simpleString()
-    return spark.createDataFrame(rows, f"group {group_type}, fold int")
-
-
 def with_folds(df: DataFrame, folds: DataFrame, group: str = "group") -> DataFrame:
     """Rows with their fold. One group may own a large share of the rows."""
     return splittable_join(df, folds.withColumnRenamed("group", group), [group])
@@ -287,6 +253,8 @@ def probe_report(oof: DataFrame, classes: Sequence[int]) -> DataFrame:
     )
 
 
-def layer_slices(vector: Column, layers: int, width: int) -> Column:
-    """Cut one long vector into equal layer vectors, for ``posexplode``."""
+def layer_slices(vector: Column, layers: int) -> Column:
+    """Cut one long vector into equal layer vectors, for ``posexplode``; a length that does not divide stops the job."""
+    uneven = F.raise_error(F.concat(F.lit("not a multiple of the layers: "), F.size(vector).cast("string"))).cast("double")
+    width = F.when(F.size(vector) % layers == 0, F.size(vector) / layers).otherwise(uneven).cast("int")
     return F.transform(F.sequence(F.lit(0), F.lit(layers - 1)), lambda i: F.slice(vector, i * width + 1, width))

@@ -58,6 +58,12 @@ def drop_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.bucket_votes(V.parse_votes(W.items(spark, sf_dir), policy="drop"))
 
 
+def well_formed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items without a malformed vote; those without any vote stay, and reach no agreement."""
+    parsed = V.parse_votes(W.items(spark, sf_dir), policy="neutral", skip_empty=True)
+    return V.bucket_votes(parsed.filter(~F.col("votes_bad")))
+
+
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``item_id, gold_label, entropy_class, verb, genre``."""
     return V.label_plurality(drop_parsed(spark, sf_dir)).select(
@@ -95,7 +101,10 @@ def dense_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = W.annotation_log(W.table(spark, sf_dir, "events"))
     annotators = F.sequence(F.lit(0).cast("bigint"), F.lit(9).cast("bigint"))
-    return A.sheets(W.samples(spark, sf_dir), A.latest_state(log), annotators)
+    # The sample table is numbered once; sheets read the numbers.
+    numbered, path = with_row_index(W.samples(spark, sf_dir), ["sample_id"], "position"), shared_dir(spark, "samples")
+    numbered.write.parquet(path)
+    return A.sheets(spark.read.schema(numbered.schema).parquet(path), A.latest_state(log), annotators)
 
 
 def folded_layers(spark: SparkSession, sf_dir: str, order_by: str = "hash") -> DataFrame:
@@ -217,7 +226,7 @@ def vote_buckets_long(spark, sf_dir):
 
 @register
 def label_threshold(spark, sf_dir):
-    return tidy(V.label_threshold(drop_parsed(spark, sf_dir)).select("item_id", "gold_label", "agreement"))
+    return tidy(V.label_threshold(well_formed(spark, sf_dir)).select("item_id", "gold_label", "agreement"))
 
 
 @register
@@ -239,7 +248,7 @@ def agreement_filter(spark, sf_dir):
 
 @register
 def agreement_counts(spark, sf_dir):
-    return tidy(V.agreement_counts(drop_parsed(spark, sf_dir), keys=["genre"]))
+    return tidy(V.agreement_counts(well_formed(spark, sf_dir), keys=["genre"]))
 
 
 # ------------------------------------------------------------------------------------ prompts
@@ -252,7 +261,7 @@ def prompts_llm(spark, sf_dir):
 
 @register
 def prompts_chat(spark, sf_dir):
-    keyed = W.pairs(spark, sf_dir).withColumn("row_id", F.col("conv_id") * 1000 + F.col("turn"))
+    keyed = W.pairs(spark, sf_dir).withColumn("row_id", F.col("conv_id") * (1 << 32) + F.col("turn"))
     requests = PR.chat_requests(keyed, model="some/model", max_tokens=100)
     message = F.col("body.messages")[0]
     return tidy(
@@ -632,8 +641,7 @@ def probe_input(spark, sf_dir):
 
 @register
 def probe_folds(spark, sf_dir):
-    first = folded_layers(spark, sf_dir, order_by="group").filter(F.col("layer") == 0)
-    return tidy(first.select("item_id", "group", "label", "fold"))
+    return tidy(folded_layers(spark, sf_dir, order_by="group").select("item_id", "layer", "group", "label", "fold"))
 
 
 @register
@@ -656,7 +664,7 @@ def probe_final(spark, sf_dir):
 
 @register
 def annot_state(spark, sf_dir):
-    return tidy(sheet(spark, sf_dir)).orderBy("annotator_id", "sample_id")
+    return tidy(sheet(spark, sf_dir).drop("position")).orderBy("annotator_id", "sample_id")
 
 
 @register
@@ -684,7 +692,11 @@ def stream_confusion(spark, sf_dir):
     source = W.table(spark, sf_dir, "orders").schema
     stream = spark.readStream.schema(source).parquet(f"{sf_dir}/orders*.parquet")
     out, checkpoint = shared_dir(spark, "stream"), shared_dir(spark, "stream-checkpoint")
-    live = stream_evaluation.stream_confusion(W.response_columns(stream), gold(spark, sf_dir), keys=["run"])
+    # Gold is built once, not in every trigger.
+    built, gold_dir = gold(spark, sf_dir), shared_dir(spark, "stream-gold")
+    built.write.parquet(gold_dir)
+    static = spark.read.schema(built.schema).parquet(gold_dir)
+    live = stream_evaluation.stream_confusion(W.response_columns(stream), static, keys=["run"])
     stream_evaluation.run_to_table(live, out, checkpoint).awaitTermination()
     return tidy(stream_evaluation.latest_counts(spark, out))
 

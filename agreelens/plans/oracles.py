@@ -60,6 +60,19 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         """SELECT *, CAST(CASE gold_label WHEN 'entailment' THEN e WHEN 'neutral' THEN n
              WHEN 'contradiction' THEN c END AS DOUBLE) / total AS agreement FROM threshold""",
     ),
+    # Items without a malformed vote; those without any vote have a total of 0.
+    "well_formed": (
+        ("numbers",),
+        """SELECT item_id, genre, count(CASE WHEN piece <> '' THEN 1 END) AS total,
+             count(CASE WHEN v BETWEEN 1 AND 3 THEN 1 END) AS e, count(CASE WHEN v = 0 THEN 1 END) AS n, count(CASE WHEN v BETWEEN -3 AND -1 THEN 1 END) AS c
+           FROM numbers GROUP BY item_id, genre HAVING count(CASE WHEN piece <> '' AND v IS NULL THEN 1 END) = 0""",
+    ),
+    "decided": (
+        ("well_formed",),
+        """SELECT item_id, genre, CASE WHEN total = 0 THEN NULL WHEN CAST(e AS DOUBLE) / total >= 0.8 THEN 'entailment'
+             WHEN CAST(n AS DOUBLE) / total >= 0.8 THEN 'neutral' WHEN CAST(c AS DOUBLE) / total >= 0.8 THEN 'contradiction' END AS gold_label,
+             CASE WHEN total > 0 THEN CAST(greatest(e, n, c) AS DOUBLE) / total END AS top_share FROM well_formed""",
+    ),
     "gold": (
         ("kept",),
         """SELECT CAST(item_id AS VARCHAR) AS item_id, verb, genre,
@@ -246,7 +259,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "log": (
         (),
-        """SELECT user_id % 10 AS annotator_id, event_id % 200 AS sample_id, event_id AS ts,
+        """SELECT user_id % 10 AS annotator_id, 10 + 3 * (event_id % 200) AS sample_id, event_id AS ts,
              CASE event_type WHEN 'view' THEN 'view' WHEN 'error' THEN 'skip' ELSE 'save' END AS action,
              CASE event_type WHEN 'purchase' THEN 'purchase | click' WHEN 'click' THEN 'click' END AS labels,
              CASE WHEN event_id % 4 = 0 THEN '  ' ELSE props END AS comments FROM events""",
@@ -267,8 +280,9 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "sheet": (
         ("state",),
-        """SELECT a.annotator_id, m.sample_id, labels, comments
-           FROM (SELECT DISTINCT event_id % 200 AS sample_id FROM events) m
+        """SELECT a.annotator_id, m.sample_id, position, labels, comments
+           FROM (SELECT sample_id, row_number() OVER (ORDER BY sample_id) - 1 AS position
+                 FROM (SELECT DISTINCT 10 + 3 * (event_id % 200) AS sample_id FROM events)) m
            CROSS JOIN (SELECT unnest(range(10)) AS annotator_id) a
            LEFT JOIN state s ON s.annotator_id = a.annotator_id AND s.sample_id = m.sample_id""",
     ),
@@ -351,7 +365,10 @@ SELECTS: dict[str, tuple[tuple[str, ...], str]] = {
              count(CASE WHEN vote BETWEEN 1 AND 3 THEN 1 END) AS n_entailment, count(CASE WHEN vote = 0 THEN 1 END) AS n_neutral,
              count(CASE WHEN vote BETWEEN -3 AND -1 THEN 1 END) AS n_contradiction FROM votes GROUP BY item_id""",
     ),
-    "label_threshold": (("agreed",), "SELECT item_id, gold_label, round(agreement, 8) AS agreement FROM agreed"),
+    "label_threshold": (
+        ("decided",),
+        "SELECT item_id, gold_label, CASE WHEN gold_label IS NOT NULL THEN round(top_share, 8) END AS agreement FROM decided",
+    ),
     "label_mean_fallback": (
         ("lenient",),
         """SELECT item_id, CASE WHEN bad THEN 'neutral' WHEN CAST(e AS DOUBLE) / total >= 0.8 THEN 'entailment'
@@ -370,10 +387,10 @@ SELECTS: dict[str, tuple[tuple[str, ...], str]] = {
              round(CAST(s AS DOUBLE) / total, 8) AS mean_vote FROM agreed WHERE gold_label IS NOT NULL""",
     ),
     "agreement_counts": (
-        ("agreed",),
+        ("decided",),
         """SELECT genre, count(CASE WHEN gold_label IS NOT NULL THEN 1 END) AS kept_rows, count(CASE WHEN gold_label IS NULL THEN 1 END) AS dropped_rows,
              count(CASE WHEN gold_label = 'entailment' THEN 1 END) AS kept_entailment, count(CASE WHEN gold_label = 'neutral' THEN 1 END) AS kept_neutral,
-             count(CASE WHEN gold_label = 'contradiction' THEN 1 END) AS kept_contradiction FROM agreed GROUP BY genre""",
+             count(CASE WHEN gold_label = 'contradiction' THEN 1 END) AS kept_contradiction FROM decided GROUP BY genre""",
     ),
     "prompts_llm": (
         ("pairs",),
@@ -382,7 +399,7 @@ SELECTS: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "prompts_chat": (
         ("pairs",),
-        f"""SELECT 'id' || CAST(conv_id * 1000 + turn AS VARCHAR) || '_run1' AS custom_id, 'some/model' AS model,
+        f"""SELECT 'id' || CAST(conv_id * 4294967296 + turn AS VARCHAR) || '_run1' AS custom_id, 'some/model' AS model,
               'user' AS role, {_PROMPT.format(p="premise", h="hypothesis")} AS content, CAST(100 AS BIGINT) AS max_tokens,
               false AS reasoning, CAST(0 AS DOUBLE) AS temperature FROM pairs WHERE trim(premise, {_STRIP}) <> ''""",
     ),
@@ -590,8 +607,8 @@ SELECTS: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "probe_folds": (
         ("layers", "dealt"),
-        """SELECT item_id, CAST(l.grp AS BIGINT) AS "group", CAST(label AS BIGINT) AS label, CAST(fold AS BIGINT) AS fold
-           FROM layers l JOIN dealt d ON d.grp = l.grp WHERE layer = 0""",
+        """SELECT item_id, CAST(layer AS BIGINT) AS layer, CAST(l.grp AS BIGINT) AS "group", CAST(label AS BIGINT) AS label,
+             CAST(fold AS BIGINT) AS fold FROM layers l JOIN dealt d ON d.grp = l.grp""",
     ),
     "annot_state": (
         ("sheet",),
@@ -599,14 +616,14 @@ SELECTS: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "annot_resume": (
         ("sheet",),
-        """SELECT annotator_id, coalesce(min(sample_id) FILTER (WHERE labels IS NULL), 0) AS resume_at FROM sheet
+        """SELECT annotator_id, coalesce(min(position) FILTER (WHERE labels IS NULL), 0) AS resume_at FROM sheet
            GROUP BY annotator_id""",
     ),
     "annot_progress": (
         ("sheet",),
         """SELECT annotator_id, count(*) AS total, count(labels) AS labelled,
              round(CAST(count(labels) AS DOUBLE) / count(*), 8) AS labelled_share,
-             round(CAST(coalesce(min(sample_id) FILTER (WHERE labels IS NULL), 0) + 1 AS DOUBLE) / count(*), 8)
+             round(CAST(coalesce(min(position) FILTER (WHERE labels IS NULL), 0) + 1 AS DOUBLE) / count(*), 8)
                AS position_share FROM sheet GROUP BY annotator_id""",
     ),
     "annot_labels": (

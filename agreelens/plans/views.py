@@ -6,7 +6,7 @@ be written in plain SQL for the oracles (``oracles.py``).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.probes import layer_slices
@@ -127,7 +127,7 @@ def long_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-LAYERS, LAYER_WIDTH = 4, 16
+LAYERS = 4
 
 
 def layers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,11 +136,16 @@ def layers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("vec_id").alias("item_id"),
         (F.col("label") % 3).alias("label"),
         (F.col("vec_id") % 7).cast("int").alias("group"),
-        layer_slices(F.col("embedding"), LAYERS, LAYER_WIDTH).alias("parts"),
+        layer_slices(F.col("embedding"), LAYERS).alias("parts"),
     )
     return vectors.select("item_id", "label", "group", F.posexplode("parts").alias("layer", "vec"))
 
 
+def sample_number(event_id: Column) -> Column:
+    """Sample ids with gaps, not from 0: a place in the set is not an id."""
+    return 10 + 3 * (event_id % 200)
+
+
 def annotation_log(events: DataFrame) -> DataFrame:
     """Log of views, skips and saves; takes a batch or a streaming ``events`` table."""
     action = (
@@ -153,7 +158,7 @@ def annotation_log(events: DataFrame) -> DataFrame:
     )
     return events.select(
         (F.col("user_id") % 10).alias("annotator_id"),
-        (F.col("event_id") % 200).alias("sample_id"),
+        sample_number(F.col("event_id")).alias("sample_id"),
         F.col("event_id").alias("ts"),
         action.alias("action"),
         labels.alias("labels"),
@@ -162,4 +167,4 @@ def annotation_log(events: DataFrame) -> DataFrame:
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select((F.col("event_id") % 200).alias("sample_id")).distinct()
+    return table(spark, sf_dir, "events").select(sample_number(F.col("event_id")).alias("sample_id")).distinct()

@@ -25,12 +25,12 @@ def stream_confusion(
     gold: DataFrame,
     mode: str = "letter",
     keys: Sequence[str] = (),
-    salts: int = 8,
+    salts: int = 1,
 ) -> DataFrame:
     """Streaming confusion counts against a static gold table.
 
-    State is one counter per ``keys, gold, pred``. The join with gold is salted because a stream has no AQE
-    to split a hot item, unless the static plan already broadcasts gold.
+    State is one counter per ``keys, gold, pred``. Pass ``gold`` staged: every trigger reads it. A stream has no AQE to
+    split a hot item; where one is expected, ``salts`` above 1 spreads it, at the price of as many copies of gold.
     """
     preds = predictions(flatten_responses(responses), mode).select(*keys, "item_id", "predicted_label")
     labelled = gold.select("item_id", *[c for c in ("gold_label", "entropy_class") if c in gold.columns])

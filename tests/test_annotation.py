@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from agreelens.operators import annotation as A
+from agreelens.sources.row_index import with_row_index
 
 SCHEMA = "annotator_id string, sample_id bigint, ts bigint, action string, labels string, comments string"
 LOG = [
@@ -36,7 +37,7 @@ def test_fold(state):
 
 
 def test_sheets_resume_progress(spark, state):
-    samples = spark.range(7).withColumnRenamed("id", "sample_id")
+    samples = spark.range(7).select(F.col("id").alias("sample_id"), F.col("id").alias("position"))
     sheet = A.sheets(samples, state, F.array(F.lit("a"), F.lit("b"), F.lit("c")))
     assert sheet.count() == 21
     assert {r["annotator_id"]: r["resume_at"] for r in A.resume_position(sheet).collect()} == {"a": 5, "b": 1, "c": 0}
@@ -48,6 +49,14 @@ def test_sheets_resume_progress(spark, state):
     assert A.resume_position(done).head()["resume_at"] == 0
 
 
+def test_positions_are_not_ids(spark):
+    log = spark.createDataFrame([("a", 10, 1, "save", "x", None), ("a", 20, 2, "view", None, None)], SCHEMA)
+    samples = with_row_index(spark.createDataFrame([(30,), (10,), (20,)], "sample_id bigint"), ["sample_id"], "position")
+    sheet = A.sheets(samples, A.latest_state(log), F.array(F.lit("a")))
+    assert A.resume_position(sheet).head()["resume_at"] == 1
+    assert A.progress(sheet).head()["position_share"] == pytest.approx(2 / 3)
+
+
 def test_options(spark, state):
     rows = {r["option"]: r["n"] for r in A.option_counts(state, ["x", "y", "z"]).collect()}
     assert rows == {"x": 2, "y": 2, "z": 0}

@@ -18,17 +18,16 @@ def reps(spark, n=60, classes=3, layers=2, seed=0):
     return spark.createDataFrame(rows, "item_id string, layer int, vec array<float>, label int, `group` string")
 
 
-@pytest.mark.parametrize("mode", ["spread", "greedy"])
-def test_fold_invariants(spark, mode):
+def test_fold_invariants(spark):
     df = reps(spark, n=200, layers=1)
     k = P.fold_count(df)
     assert k == 5
-    folded = P.with_folds(df, P.fold_table(df, k, mode=mode))
+    folded = P.with_folds(df, P.fold_table(df, k))
     assert folded.count() == 200
     assert folded.groupBy("group").agg(F.count_distinct("fold").alias("n")).filter("n > 1").count() == 0
     sizes = [r["count"] for r in folded.groupBy("fold").count().collect()]
     assert len(sizes) == 5 and max(sizes) <= 3 * min(sizes)
-    again = P.with_folds(df, P.fold_table(df.repartition(7), k, mode=mode))
+    again = P.with_folds(df, P.fold_table(df.repartition(7), k))
     assert sorted(map(str, again.select("item_id", "fold").collect())) == sorted(map(str, folded.select("item_id", "fold").collect()))
 
 
@@ -43,12 +42,6 @@ def test_fold_count_and_seed(spark):
     assert {r["count"] for r in stratified} == {30}
 
 
-def test_greedy_refuses_too_many_groups(spark, monkeypatch):
-    monkeypatch.setattr(P, "MAX_DRIVER_GROUPS", 3)
-    with pytest.raises(ValueError, match="mode='spread'"):
-        P.fold_table(reps(spark), 5, mode="greedy")
-
-
 def test_out_of_fold_and_report(spark):
     df = reps(spark, n=90)
     oof = P.out_of_fold(P.with_folds(df, P.fold_table(df.filter("layer = 0"), 3)))

@@ -30,7 +30,7 @@ def test_stream_equals_batch_over_several_files_and_restarts(spark, tmp_path):
         write_responses(inbox, f"{part}.jsonl", rows)
         if part == 1:
             continue
-        live = SE.stream_confusion(SE.response_stream(spark, str(inbox), max_files=1), gold)
+        live = SE.stream_confusion(SE.response_stream(spark, str(inbox), max_files=1), gold, salts=4)
         SE.run_to_table(live, out, checkpoint).awaitTermination()
     batch = R.predictions(R.flatten_responses(tables.read_json_lines(spark, str(inbox), R.RESPONSE_SCHEMA)))
     expected = M.confusion_counts(R.match_gold(batch.select("item_id", "predicted_label"), gold))
