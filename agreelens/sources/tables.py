@@ -121,6 +121,15 @@ def read_json_array(spark: SparkSession, path: str | list[str], schema: T.Struct
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
-def label_lookup(items: DataFrame, labels: DataFrame, on: str = "idx", label: str = "label") -> DataFrame:
-    """Left join of labels by ``on``. To look up by position, give both sides a row index first."""
+def label_lookup(
+    items: DataFrame, labels: DataFrame, on: str = "idx", label: str = "label", order: Sequence[str] | None = None
+) -> DataFrame:
+    """Left join of labels by ``on``. To look up by position, give both sides a row index first.
+
+    With ``order``, the last label row of an id by these columns counts. Without it ids of ``labels`` must be
+    unique: a repeated one repeats its items.
+    """
+    if order:
+        last = F.max_by(F.struct(label), F.struct(*order))
+        labels = labels.groupBy(on).agg(last[label].alias(label))
     return items.join(labels.select(on, label), on, "left")

@@ -127,3 +127,10 @@ def test_probe_input_empty_cells_of_a_csv_are_missing(spark, tmp_path):
     path.write_text("row_id,Context,Target,gold_label,Verb\n0,,t,neutral,v\n1,c,t,neutral,\n2,c,t,,v\n3,c,,neutral,v\n4,c,t,entailment,v\n")
     rows = P.probe_input(read_csv(spark, str(path))).select("row_id", "group").collect()
     assert sorted(tuple(r) for r in rows) == [("1", P.NO_GROUP), ("4", "v")]
+
+
+def test_layer_width_comes_from_the_vector(spark):
+    df = spark.createDataFrame([([1.0, 2.0, 3.0, 4.0, 5.0, 6.0],)], "v array<float>")
+    assert df.select(P.layer_slices(F.col("v"), 3).alias("s")).head()["s"] == [[1, 2], [3, 4], [5, 6]]
+    with pytest.raises(Exception, match="not a multiple"):
+        df.select(P.layer_slices(F.col("v"), 4).alias("s")).collect()

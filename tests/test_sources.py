@@ -219,3 +219,10 @@ def test_row_index_holds_when_a_task_writes_many_files(spark):
     finally:
         spark.conf.unset("spark.sql.files.maxRecordsPerFile")
     assert all(r["id"] == r["place"] for r in rows) and len(rows) == 500
+
+
+def test_label_lookup_takes_the_last_of_repeated_ids(spark):
+    items = spark.createDataFrame([(1,), (2,), (3,)], "idx int")
+    labels = spark.createDataFrame([(1, 7, "old"), (1, 9, "new"), (2, 1, "x"), (2, 2, None)], "idx int, row_id int, label string")
+    got = tables.label_lookup(items, labels, order=["row_id"]).collect()
+    assert sorted((r["idx"], r["label"] or "") for r in got) == [(1, "new"), (2, ""), (3, "")]

@@ -140,3 +140,10 @@ def test_very_long_vote_string(spark):
     df = spark.createDataFrame([(text,)], "votes_str string")
     row = V.label_plurality(V.bucket_votes(V.parse_votes(df))).head()
     assert row["vote_count"] == 200_000 and row["entropy_class"] == "low_entropy"
+
+
+def test_items_without_votes_count_as_dropped(spark):
+    items = spark.createDataFrame([("a", "1,2"), ("b", ""), ("c", None), ("d", "1,x")], "item_id string, votes_str string")
+    parsed = V.parse_votes(items, policy="neutral", skip_empty=True).filter("not votes_bad")
+    row = V.agreement_counts(V.bucket_votes(parsed)).head()
+    assert (row["kept_rows"], row["dropped_rows"]) == (1, 2)
