@@ -25,13 +25,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of runs of two or more lines go, and documents of which nothing is left.
+    """Later copies of runs of two or more lines, and of single lines of over 50 words, go, and documents of which nothing is left.
 
     Texts that lose nothing stay as they are, null and empty ones too; ``n_chars`` follows the text where it changes.
     """
     # The operator's own counts must not replace columns of these names.
     own = {c: f"{c} of docs" for c in ("n_lines", "n_removed") if c in docs.columns}
-    freed = remove_repeated_runs(docs.withColumnsRenamed(own), min_lines=2)
+    freed = remove_repeated_runs(docs.withColumnsRenamed(own), min_lines=2, long_words=50)
     freed = freed.where((F.col("n_removed") == 0) | F.col("text").rlike(WORD))
     changed = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
     freed = freed.withColumn("n_chars", changed.cast("long"))

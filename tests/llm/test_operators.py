@@ -232,6 +232,30 @@ def test_line_runs_match_brute_force(spark, depth):
         assert r["text"] == "\n".join(x for j, x in enumerate(lines) if j not in gone[r["doc_id"]])
 
 
+@pytest.mark.parametrize("depth", [1, 2, 3])
+def test_long_single_lines_match_brute_force(spark, depth):
+    """A line of over 6 words goes as a later copy whatever its neighbours; a line of 6 words only within a run."""
+    rng = np.random.default_rng(8)
+    lines_of = [" ".join(f"w{x}" for x in range(n, n + 5 + n % 4)) for n in range(60)]
+    rows = [(i, "\n".join(lines_of[x] for x in rng.integers(0, 60, rng.integers(1, 20)))) for i in range(40)]
+    rows += [(100, f"  {lines_of[3]} \n\n{lines_of[3]}"), (None, lines_of[3]), (None, lines_of[1])]
+    gone = [set() for _ in rows]
+    for run in range(1, depth + 1):
+        first = {}
+        for at, (_, text) in enumerate(rows):
+            lines = [(j, x.strip(" ")) for j, x in enumerate(text.split("\n")) if brute.words_of(x)]
+            for j in range(len(lines) - run + 1):
+                key = tuple(x for _, x in lines[j : j + run])
+                # Rows without an id share their places.
+                place = (len(rows) if rows[at][0] is None else at, lines[j][0])
+                if first.setdefault(key, place) < place and (run == depth or run == 1 and len(brute.words_of(key[0])) > 6):
+                    gone[at].update(k for k, _ in lines[j : j + run])
+    freed = line_dedup.remove_repeated_runs(spark.createDataFrame(rows, "doc_id long, text string"), min_lines=depth, long_words=6)
+    want = ["\n".join(x for j, x in enumerate(text.split("\n")) if j not in own) for (_, text), own in zip(rows, gone)]
+    got = [(r["doc_id"], r["text"], r["n_removed"]) for r in freed.collect()]
+    assert sorted(got, key=repr) == sorted(((r[0], t, len(g)) for r, t, g in zip(rows, want, gone)), key=repr)
+
+
 def test_mix_meets_its_targets(docs):
     rows = mixing.mix_sources(docs, block=4).collect()
     size = {i: len(brute.words_of(t)) for i, t in enumerate(TEXTS)}

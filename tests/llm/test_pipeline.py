@@ -211,6 +211,15 @@ def test_packing_stage(kept):
         assert end & (end - 1) == 0 and end <= 4096 or end > 4096 - 64
 
 
+def test_line_stage_takes_long_single_lines(spark):
+    """A passage of over 50 words on one line goes from later documents, whatever stands around it; one of 50 stays."""
+    long, short = " ".join(f"a{j}" for j in range(51)), " ".join(f"b{j}" for j in range(50))
+    texts = [(1, f"first\n{long}\n{short}"), (2, f"{short}\nsecond\n{long}\nend"), (3, long), (4, f"{long}\n{short}")]
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in STAGES["line dedup"](spark, spark.createDataFrame(rows_of(texts), SCHEMA), None).collect()}
+    second = f"{short}\nsecond\nend"
+    assert got == {1: (texts[0][1], len(texts[0][1])), 2: (second, len(second))}
+
+
 def test_stages_take_no_rows(spark):
     docs = spark.createDataFrame([], SCHEMA)
     for name, stage in corpus_pipeline.STAGES:
