@@ -23,8 +23,9 @@ def token_counts(
 
     A prefix's count is that of the prefix one piece shorter plus the tokens of that piece, so one pass
     gives the count at every piece end. ``fit_chars`` is the longest such prefix with at most ``limit``
-    tokens, the whole text if it fits. With ``prefixes`` the table itself is kept: ``ends`` (characters)
-    and ``counts``; ``tokens_within`` and ``chars_within`` answer from it without encoding again.
+    tokens, the whole text if it fits; in a piece of over 64 characters it goes on to a place where the next character
+    no longer fits. With ``prefixes`` the table itself is kept: ``ends`` (characters)
+    and ``counts``, with up to 64 more places inside each piece of over 64 characters; ``tokens_within`` and ``chars_within`` answer from it without encoding again.
 
     Null and empty texts count 0 tokens. A null id stays null; repeated rows give one row each. Other
     columns are ignored. A very long text is one row in a worker, never cut.
@@ -40,11 +41,12 @@ def token_counts(
                 table = tokenizer.prefix_counts(texts)
                 total = [int(c[-1]) if len(c) else 0 for c in table]
                 ends, fit = [], []
-                for text, counts, n in zip(texts, table, total):
+                for i, (text, counts, n) in enumerate(zip(texts, table, total)):
                     own = tokenizer.ends(text) if prefixes or n > limit else None
+                    fit.append(len(text) if n <= limit else tokenizer.fitting(text, limit, own, counts))
+                    if prefixes:
+                        own, table[i] = tokenizer.with_inside(text, own, counts)
                     ends.append(own)
-                    whole = int(np.searchsorted(counts, limit, "right")) if n > limit else -1
-                    fit.append(len(text) if n <= limit else own[whole - 1] if whole else 0)
                 columns = [
                     part.column(0),
                     pa.array([len(t) for t in raw], pa.int64()),

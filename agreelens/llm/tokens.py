@@ -2,12 +2,13 @@
 
 The vocabulary's rules never join text across white space, so ids of a text are the ids of its pieces.
 Pieces of plain Latin text are found here with the rule of the vocabulary file and encoded once per
-task; a chunk with any other character goes to the library whole.
+task; a chunk with any other character is cut where the library's own pieces begin, and these go to the library.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 
 import numpy as np
 from tokenizers import Tokenizer, pre_tokenizers
@@ -19,6 +20,13 @@ PLAIN = re.compile("[\x09-\x0d\x20-\x7eÀ-ÿ]*")
 PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\x09-\x0d\x20a-z0-9ß-öø-ÿ]+")
 CHUNK = re.compile("[^\x09-\x0d\x20]+")
 RAW = "\0"
+#: Pieces of more characters than this have places inside in the table of prefixes.
+LONG_PIECE = 64
+
+
+def may_compose(letter: str) -> bool:
+    """Whether normalisation may join a character to those before it: marks, and Hangul vowels and finals."""
+    return unicodedata.category(letter)[0] == "M" or "\u1160" <= letter <= "\u11ff"
 
 
 def byte_letters() -> dict[int, str]:
@@ -44,10 +52,24 @@ class PieceTokenizer:
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
+        self.cuts_of: dict[str, list[int]] = {}
         self.starts = np.zeros(0, np.int64)
         self.lengths = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.int32)
 
+    def cuts(self, chunk: str) -> list[int]:
+        """Ends of the pieces of a chunk beyond plain Latin, by the library's words and their places in the chunk."""
+        if chunk not in self.cuts_of:
+            encoded = self.whole.encode(chunk, add_special_tokens=False)
+            cuts, word, reached = [], None, 0
+            for own, (start, end) in zip(encoded.word_ids, encoded.offsets):
+                # No cut in a character that gives two pieces, nor before one that changes what stands before it.
+                if own != word and start >= max(reached, 1) and not may_compose(chunk[start]):
+                    cuts.append(start)
+                word, reached = own, max(reached, end)
+            self.cuts_of[chunk] = [*cuts, len(chunk)]
+        return self.cuts_of[chunk]
+
     def pieces(self, text: str) -> list[str]:
         if PLAIN.fullmatch(text) and "<|" not in text:
             return PIECE.findall(text.lower())
@@ -56,7 +78,8 @@ class PieceTokenizer:
             if PLAIN.fullmatch(chunk) and "<|" not in chunk:
                 out += PIECE.findall(chunk.lower())
             else:
-                out.append(RAW + chunk)
+                cuts = self.cuts(chunk)
+                out += [RAW + chunk[a:b] for a, b in zip([0, *cuts], cuts)]
         return out
 
     def ends(self, text: str) -> list[int]:
@@ -69,7 +92,7 @@ class PieceTokenizer:
             if PLAIN.fullmatch(chunk) and "<|" not in chunk:
                 out += [m.start() + p.end() for p in PIECE.finditer(chunk.lower())]
             else:
-                out.append(m.end())
+                out += [m.start() + c for c in self.cuts(chunk)]
         return out
 
     def learn(self, new: list[str]) -> None:
@@ -97,7 +120,7 @@ class PieceTokenizer:
 
     def index(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of all pieces of all texts, and where each text begins among them."""
-        if len(self.known) > self.limit:
+        if len(self.known) > self.limit or len(self.cuts_of) > self.limit:
             self.forget()
         known, new, parts = self.known, [], []
         for text in texts:
@@ -136,6 +159,34 @@ class PieceTokenizer:
         return (int(counts[i - 1]) if i else 0) + tail
 
 
+    def fitting(self, text: str, limit: int, ends: list[int], counts: np.ndarray) -> int:
+        """Characters of ``text``, of more than ``limit`` tokens, up to the last piece that fits, and on inside a long piece."""
+        i = int(np.searchsorted(counts, limit, "right"))
+        low, high = ends[i - 1] if i else 0, ends[i]
+        if high - low > LONG_PIECE:
+            # ``low`` fits and ``high`` does not, at every step.
+            while high - low > 1:
+                middle = (low + high) // 2
+                fits = self.count_prefix(text, middle, ends, counts) <= limit
+                low, high = (middle, high) if fits else (low, middle)
+        return low
+
+    def with_inside(self, text: str, ends: list[int], counts: np.ndarray) -> tuple[list[int], np.ndarray]:
+        """The table with up to 64 evenly spaced places inside each long piece; counts do not fall along it."""
+        all_ends, all_counts = [], []
+        for i, end in enumerate(ends):
+            start, count = (ends[i - 1], int(counts[i - 1])) if i else (0, 0)
+            if end - start > LONG_PIECE:
+                for chars in range(start + max(32, (end - start) // 64), end, max(32, (end - start) // 64)):
+                    own = self.count_prefix(text, chars, ends, counts)
+                    if count <= own <= counts[i]:
+                        all_ends.append(chars)
+                        all_counts.append(count := own)
+            all_ends.append(end)
+            all_counts.append(int(counts[i]))
+        return all_ends, np.array(all_counts, np.int64)
+
+
 def worker_tokenizer(path: str) -> PieceTokenizer:
     """A tokenizer for one task, single-threaded: the task owns one core."""
     import os

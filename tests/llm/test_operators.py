@@ -188,6 +188,42 @@ def test_every_prefix_is_counted_without_encoding_the_text(vocabulary):
             assert own.count_prefix(text, chars, ends, counts) == len(ids_of(vocabulary, text[:chars]))
 
 
+SPACELESS = [
+    "日本語の文章です。" * 500,
+    "漢字" * 3000,
+    "ภาษาไทย" * 1500,
+    "https://x.y/a_b?c=日&" * 400,
+    "e\u0301q\u0307\u0323a\u0307\u0323İ1日" * 400,
+    "abcdefghij" * 1500 + "é",
+    "qzxjkvbwpf" * 1500,
+]
+
+
+def test_texts_without_spaces_have_prefixes_inside(spark, vocabulary):
+    docs = spark.createDataFrame(list(enumerate(SPACELESS)), "doc_id long, text string")
+    counted = token_counts.token_counts(docs, VOCABULARY, limit=2048, prefixes=True)
+    counted = token_counts.chars_within(token_counts.tokens_within(counted, 1000), 500)
+    for r in counted.collect():
+        text = SPACELESS[r["doc_id"]]
+        assert r["n_tokens"] == len(ids_of(vocabulary, text)) and r["over_limit"]
+        assert len(ids_of(vocabulary, text[: r["fit_chars"]])) <= 2048
+        assert len(ids_of(vocabulary, text[: r["fit_chars"] + 70])) > 2048
+        for end, count in list(zip(r["ends"], r["counts"]))[::25]:
+            assert len(ids_of(vocabulary, text[:end])) == count
+        assert r["tokens"] > 0 and 0 < r["chars"] and len(ids_of(vocabulary, text[: r["chars"]])) <= 500
+
+
+def test_cuts_in_random_chunks_are_exact(vocabulary):
+    rng, own = np.random.default_rng(9), PieceTokenizer(VOCABULARY)
+    letters = [*"aeZq19'st.,_日本語、กัÉßİΣ한ﬁ²٣", "\u0301", "\u0307", "\u0323", "\u1112", "\u1161", "\u11ab", "\u09c7", "\u09be", "\u3000", "<|endoftext|>"]
+    for _ in range(300):
+        text = "".join(rng.choice(letters, rng.integers(1, 25)))
+        ends, counts = own.ends(text), own.prefix_counts([text])[0]
+        assert len(ends) == len(counts)
+        assert [len(ids_of(vocabulary, text[:e])) for e in ends] == counts.tolist()
+        assert own.encode([text])[0].tolist() == ids_of(vocabulary, text)
+
+
 def test_budget_questions_are_answered_from_the_table(docs, vocabulary):
     counted = token_counts.token_counts(docs, VOCABULARY, prefixes=True).where("doc_id = 0")
     chars = token_counts.chars_within(counted, 10).first()["chars"]
