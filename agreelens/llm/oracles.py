@@ -160,6 +160,97 @@ ranked as (
 select query_id, rank, vec_id, score from ranked where rank <= 5
 """
 
+OP11 = r"""
+with t as (
+  select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') as w,
+    sha256('1:' || doc_id) as h from documents),
+r as (
+  select *, len(w) as n, [cast('0x' || substr(h, 8 * i + 1, 8) as bigint) for i in range(4)] as g from t),
+c as (
+  select *, least(g[1] % (n + 1), g[2] % (n + 1)) as a, greatest(g[1] % (n + 1), g[2] % (n + 1)) as b,
+    case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or g[3] % 100 >= 90 then 'plain'
+      when g[4] % 100 < 20 then 'spm' else 'psm' end as form from r),
+p as (
+  select *, array_to_string(w[1:a], '') as prefix, array_to_string(w[a + 1:b], '') as middle, array_to_string(w[b + 1:], '') as suffix
+  from c)
+select doc_id, cast(n as bigint) as n, form,
+  case when form <> 'plain' then cast(length(prefix) as bigint) end as prefix_chars,
+  case when form <> 'plain' then cast(length(middle) as bigint) end as middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
+  sha256(text) as restored_sha256
+from p
+"""
+
+# CRC-32 bit by bit. The repair goes through the grammar's states turn by turn: 3 nothing written, 2 after the system turn,
+# 1 a user's turn written, 0 an assistant's; per state the cheapest and then least audit is kept.
+OP13 = rf"""
+with recursive named as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+    coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ') as name
+  from conversations),
+hashed as (
+  select *, xor(list_reduce(
+    list_transform(string_split(name, ''), lambda c: cast(ascii(c) as bigint)),
+    lambda crc, byte: list_reduce([cast(i as bigint) for i in range(8)],
+      lambda x, i: xor(x >> 1, (x & 1) * 3988292384), xor(crc, byte)), cast(4294967295 as bigint)), 4294967295) % 20 as kind
+  from named),
+rows as (
+  select conv_id, turn, case kind when 4 then 'user' else role end as role,
+    case kind when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
+  from hashed, unnest(case kind when 0 then [] when 3 then [1, 2] else [1] end) as copies(copy)),
+numbered as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, md5(text)) as i from rows),
+placed as (
+  select *, row_number() over (partition by conv_id, role, text order by i) > 1 as again,
+    not regexp_matches(text, '[^ 	-
+]') as blank,
+    right(regexp_replace(text, '[ 	-
+]+$', ''), 1) not in ('.', '!', '?') as cut
+  from numbered),
+marked as (
+  select *, left(role, 1) as initial, lag(left(role, 1)) over (partition by conv_id order by i) || left(role, 1) as pair,
+    blank or again as gone, not blank and not again and cut as truncated
+  from placed),
+counts as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (blank) as blank,
+    count(*) filter (again and not blank) as duplicate, count(*) filter (truncated) as truncated,
+    count(*) filter (pair not in ('su', 'ua', 'au')) as illegal, max(i) as n
+  from marked group by conv_id),
+moves(state, inserted, next, written) as (values
+  (3, '', 3, ''), (3, 'I', 1, chr(10) || 'user:'), (3, 'II', 0, chr(10) || 'user:' || chr(10) || 'assistant:'),
+  (2, '', 2, ''), (2, 'I', 1, chr(10) || 'user:'), (2, 'II', 0, chr(10) || 'user:' || chr(10) || 'assistant:'),
+  (0, '', 0, ''), (0, 'I', 1, chr(10) || 'user:'), (1, '', 1, ''), (1, 'I', 0, chr(10) || 'assistant:')),
+edits(before, edit, after) as (values
+  (3, 'D', 3), (2, 'D', 2), (1, 'D', 1), (0, 'D', 0), (3, 'S', 2), (3, 'W', 1), (2, 'W', 1), (0, 'W', 1), (1, 'W', 0)),
+steps as (
+  select conv_id, 0 as i, 3 as state, {{'cost': 0, 'audit': '', 'text': ''}} as best from counts
+  union all
+  select s.conv_id, s.i + 1, e.after, min({{
+    'cost': s.best.cost + 3 * length(m.inserted) + case edit when 'D' then 4 when 'S' then 0
+      else case when r.initial = case e.before when 1 then 'a' else 'u' end then 0 else 3 end end
+      + case when edit <> 'D' and truncated then 3 else 0 end,
+    'audit': s.best.audit || m.inserted || case edit when 'D' then 'D' when 'S' then 'K'
+      else case when r.initial = case e.before when 1 then 'a' else 'u' end then 'K' else 'R' end end,
+    'text': s.best.text || m.written || case edit when 'D' then '' when 'S' then chr(10) || r.role || ':' || r.text
+      else chr(10) || case when r.initial = case e.before when 1 then 'a' else 'u' end then r.role
+        when e.before = 1 then 'assistant' else 'user' end || ':' || r.text end}})
+  from steps s join marked r on r.conv_id is not distinct from s.conv_id and r.i = s.i + 1
+    join moves m on m.state = s.state join edits e on e.before = m.next
+  where (edit = 'D' or not gone) and (edit <> 'S' or r.initial = 's')
+  group by s.conv_id, s.i, e.after),
+ends as (
+  select s.conv_id, min({{'cost': s.best.cost + 3 * length(m.inserted), 'audit': s.best.audit || m.inserted,
+    'text': s.best.text || m.written}}) as best
+  from steps s join counts c on c.conv_id is not distinct from s.conv_id and c.n = s.i join moves m on m.state = s.state
+  where m.next in (0, 3) group by s.conv_id)
+select o.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate,
+  coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, cast(coalesce(best.cost, 0) as bigint) as cost,
+  coalesce(best.audit, '') as audit, sha256(coalesce(substr(best.text, 2), '')) as repaired_sha256
+from (select distinct conv_id from conversations) o
+  left join counts c on c.conv_id is not distinct from o.conv_id left join ends e on e.conv_id is not distinct from o.conv_id
+"""
+
 ORACLES = {
     "op1_near_dedup": OP1,
     "op5_line_dedup": OP5,
@@ -167,4 +258,6 @@ ORACLES = {
     "op7_substrings": OP7,
     "op9_secrets": OP9,
     "op10_top_k": OP10,
+    "op11_fill_middle": OP11,
+    "op13_conversations": OP13,
 }

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agreelens.llm.common import table
+from agreelens.llm.conversations import conversation_audits, damaged
+from agreelens.llm.fill_middle import fill_in_middle, restore
 from agreelens.llm.knn import exact_top_k
 from agreelens.llm.line_dedup import remove_repeated_runs
 from agreelens.llm.mixing import mix_sources
@@ -80,6 +82,23 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(table(spark, sf_dir, "embeddings"), k=5, query_every=50)
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fill_in_middle(table(spark, sf_dir, "documents"), plain_percent=10, spm_percent=20)
+    return cut.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_audits(damaged(table(spark, sf_dir, "conversations")), present=F.col("present"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_packing": op2_packing,
@@ -91,4 +110,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_secrets": op9_secrets,
     "op10_top_k": op10_top_k,
+    "op11_fill_middle": op11_fill_middle,
+    "op13_conversations": op13_conversations,
 }
