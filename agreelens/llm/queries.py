@@ -21,6 +21,16 @@ from agreelens.llm.secrets import scan_secrets, written
 from agreelens.llm.substrings import remove_repeats
 from agreelens.llm.token_counts import token_counts
 from agreelens.llm.toxicity import toxicity_scores
+from agreelens.llm.url_filter import ALLOW, BLOCK, judge_urls
+
+# Verdict, host and path of the URL rules.
+URL_RULES = (
+    (ALLOW, "com", "/"),
+    (BLOCK, "example.com", "/en/"),
+    (ALLOW, "www.example.com", "/en/"),
+    (BLOCK, "net", "/es/"),
+    (BLOCK, "net", "/fr/"),
+)
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -95,6 +105,10 @@ def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_audits(damaged(table(spark, sf_dir, "conversations")), present=F.col("present"))
 
@@ -111,5 +125,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secrets": op9_secrets,
     "op10_top_k": op10_top_k,
     "op11_fill_middle": op11_fill_middle,
+    "op12_url_filter": op12_url_filter,
     "op13_conversations": op13_conversations,
 }
