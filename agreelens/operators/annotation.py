@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import ANNOTATION_OPTIONS, CHOICE_SEPARATOR, NO_CHOICE, SKIPPED
 from ..functions.text import nonblank, py_strip
+from .joins import splittable_join
+from .latest import matching, order_packs
 
 STATE_KEYS = ("annotator_id", "sample_id")
 
@@ -58,8 +60,38 @@ def unpack_state(df: DataFrame, keys: Sequence[str] = STATE_KEYS) -> DataFrame:
 
 
 def latest_state(log: DataFrame, order: Sequence[str] = ("ts",), keys: Sequence[str] = STATE_KEYS) -> DataFrame:
-    """Current labels and comment per annotator and sample."""
-    return unpack_state(log.groupBy(*keys).agg(*state_aggregates(order)), keys)
+    """Current labels and comment per annotator and sample, viewed ones included.
+
+    ``order`` should decide between rows of one key: a time and what breaks its ties, such as a log position. Rows equal in all of it are
+    decided by a hash of the row, never by partitioning. The winning save, or else the first skip, is found on fixed-width
+    columns alone (``latest``); labels and comments are read once, for the winners, and never sorted. ``state_aggregates`` is the same fold in
+    one aggregate, for streams.
+    """
+    log = log.select(*keys, *[c for c in order if c not in keys], "action", "labels", "comments")
+    save, skip = F.col("action") == "save", F.col("action") == "skip"
+    # A skip's order is reversed, so the first one is the greatest.
+    packs = order_packs(log, order, first=skip)
+    named = [f"_pack{i}" for i in range(len(packs))]
+    rank = F.when(save, 2).when(skip, 1).otherwise(0)
+    packed = log.select("*", rank.alias("_rank"), *[p.alias(n) for p, n in zip(packs, named)])
+    narrow = packed.select(*keys, "_rank", *named)
+    best = [F.max(F.when(F.col("_rank") == r, F.col(named[0]))).alias(f"_best{r}") for r in (1, 2)]
+    firsts = narrow.groupBy(*keys).agg(*best).select(
+        *keys,
+        F.when(F.col("_best2").isNotNull(), 2).when(F.col("_best1").isNotNull(), 1).otherwise(0).alias("_rank"),
+        F.coalesce("_best2", "_best1").alias(named[0]),
+    )
+    top = firsts.filter("_rank > 0")
+    for i in range(1, len(named)):
+        by = [*keys, "_rank", *named[:i]]
+        top = matching(narrow, top, by).groupBy(*by).agg(F.max(named[i]).alias(named[i]))
+    entry = F.struct("labels", "comments")
+    won = matching(packed, top, [*keys, "_rank", *named]).select(
+        *keys, F.when(F.col("_rank") == 2, entry).alias("_saved"), F.when(F.col("_rank") == 1, entry).alias("_skipped")
+    )
+    none = F.lit(None).cast(won.schema["_saved"].dataType)
+    viewed = firsts.filter("_rank = 0").select(*keys, none.alias("_saved"), none.alias("_skipped"))
+    return unpack_state(won.distinct().unionByName(viewed), keys)
 
 
 def sheets(samples: DataFrame, state: DataFrame, annotators: Column) -> DataFrame:
@@ -82,8 +114,66 @@ def ensure_columns(df: DataFrame, row_id: str = "sample_id") -> DataFrame:
     return df
 
 
+def labelled_positions(
+    state: DataFrame, positions: DataFrame, resume_compat: bool = False, on: Sequence[str] = ("sample_id",)
+) -> DataFrame:
+    """``annotator_id, position`` of every labelled sample. ``positions`` numbers the samples from 0, whatever their ids.
+
+    ``resume_compat`` takes the stored text ``None`` as unlabelled, as a reload through a reader with default missing values would.
+    """
+    done = F.col("labels").isNotNull()
+    if resume_compat:
+        done = done & (F.col("labels") != NO_CHOICE)
+    rows = state.filter(done).select("annotator_id", *on)
+    return splittable_join(rows, positions.select(*on, "position"), on).select("annotator_id", "position")
+
+
+def first_gaps(labelled: DataFrame, annotators: DataFrame) -> DataFrame:
+    """``annotator_id, first_open, labelled``: the least position that is missing among an annotator's labelled ones, and their number.
+
+    A position is missing if it is not labelled while the one before it is, or if it is 0. So every labelled position also speaks for its successor, and
+    the two kinds of rows meet by annotator and position: no annotator's rows meet in one task, none are sorted, and samples without a
+    label are never written out.
+    """
+    marks = F.array(
+        F.struct(F.col("position").alias("at"), F.lit(True).alias("own")), F.struct((F.col("position") + 1).alias("at"), F.lit(False).alias("own"))
+    )
+    spoken = labelled.select("annotator_id", F.inline(marks)).unionByName(
+        annotators.select("annotator_id", F.lit(0).cast("bigint").alias("at"), F.lit(False).alias("own"))
+    )
+    places = spoken.groupBy("annotator_id", "at").agg(F.max("own").alias("own"))
+    gaps = places.groupBy("annotator_id").agg(
+        F.min(F.when(~F.col("own"), F.col("at"))).alias("first_open"), F.count_if("own").alias("labelled")
+    )
+    return gaps.join(annotators.select("annotator_id"), "annotator_id", "left_semi")
+
+
+def _first_open(gaps: DataFrame, total: Column) -> DataFrame:
+    """An annotator who is done starts over at 0."""
+    return gaps.withColumn("total", total).withColumn("first_open", F.when(F.col("first_open") < F.col("total"), F.col("first_open")).otherwise(0))
+
+
+def resume_positions(labelled: DataFrame, annotators: DataFrame, total: Column) -> DataFrame:
+    """Position of the first unlabelled sample per annotator, 0 when all ``total`` are done.
+
+    ``labelled`` is that of ``labelled_positions``, ``annotators`` has a row for each annotator of the set, ``total`` may be a scalar subquery.
+    """
+    return _first_open(first_gaps(labelled, annotators), total).select("annotator_id", F.col("first_open").alias("resume_at"))
+
+
+def progress_by_annotator(labelled: DataFrame, annotators: DataFrame, total: Column) -> DataFrame:
+    """Samples, labelled ones, their share, and the share that the position bar shows; arguments as in ``resume_positions``."""
+    return _first_open(first_gaps(labelled, annotators), total).select(
+        "annotator_id",
+        "total",
+        "labelled",
+        F.try_divide("labelled", "total").alias("labelled_share"),
+        F.try_divide(F.col("first_open") + 1, F.col("total")).alias("position_share"),
+    )
+
+
 def resume_position(sheet: DataFrame, resume_compat: bool = False) -> DataFrame:
-    """Position of the first unlabelled sample per annotator, 0 when all are done.
+    """Position of the first unlabelled sample per annotator, 0 when all are done, from a whole sheet (``resume_positions`` needs none).
 
     ``position`` numbers the sample table from 0 (``sources.row_index``), whatever its ids. ``resume_compat`` also takes the stored text ``None`` as unlabelled, as a reload through a reader with
     default missing values would.

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import extract_label, item_id_from
 from .joins import splittable_join
+from .latest import checked_unique, last_rows
 
 RESPONSE_SCHEMA = (
     "custom_id string, response struct<body: struct<choices: "
@@ -43,27 +44,29 @@ def predictions(df: DataFrame, mode: str = "letter") -> DataFrame:
 
 
 def dedupe_gold(gold: DataFrame, key: str = "item_id", order: Sequence[str] = ("row_id",)) -> DataFrame:
-    """One row per key, the last by ``order``.
-
-    A partial aggregate per input partition runs before the shuffle, so many copies of one key never meet
-    as rows in a single task.
-    """
-    rest = [c for c in gold.columns if c != key]
-    last = F.max_by(F.struct(*[F.col(f"`{c}`") for c in rest]), F.struct(*[F.col(f"`{c}`") for c in order]))
-    return gold.groupBy(key).agg(last.alias("_last")).select(key, *[F.col("_last")[c].alias(c) for c in rest])
+    """One row per key, the last by ``order`` (``latest.last_rows``)."""
+    return last_rows(gold, [key], order).select(key, *[F.col(f"`{c}`") for c in gold.columns if c != key])
 
 
 def match_gold(
-    preds: DataFrame, gold: DataFrame, on: str = "item_id", salts: int = 1, order: Sequence[str] | None = None
+    preds: DataFrame,
+    gold: DataFrame,
+    on: str = "item_id",
+    salts: int = 1,
+    order: Sequence[str] | None = None,
+    unique: bool = False,
+    hot: Sequence[str] | None = None,
 ) -> DataFrame:
     """Inner join; predictions without gold drop out and repeated predictions all stay.
 
-    With ``order``, the last gold row of an id by these columns counts. Without it ids of ``gold`` must be
-    unique: a repeated one repeats its predictions.
+    With ``order``, the last gold row of an id by these columns counts. Without it a repeated id in ``gold`` stops the job;
+    ``unique`` promises that there is none, as after an aggregation by id, and spares the check. ``salts`` and ``hot`` are those of ``splittable_join``.
     """
     if order:
         gold = dedupe_gold(gold, on, order)
-    return splittable_join(preds, gold, [on], "inner", salts)
+    elif not unique:
+        gold = checked_unique(gold, on, "gold")
+    return splittable_join(preds, gold, [on], "inner", salts, hot)
 
 
 def unmatched(preds: DataFrame, gold: DataFrame, on: str = "item_id") -> DataFrame:
@@ -72,11 +75,16 @@ def unmatched(preds: DataFrame, gold: DataFrame, on: str = "item_id") -> DataFra
 
 
 def detailed_records(
-    preds: DataFrame, gold: DataFrame, on: str = "item_id", salts: int = 1, order: Sequence[str] | None = None
+    preds: DataFrame,
+    gold: DataFrame,
+    on: str = "item_id",
+    salts: int = 1,
+    order: Sequence[str] | None = None,
+    unique: bool = False,
 ) -> DataFrame:
-    """One record per matched prediction: labels, texts and every item column."""
+    """One record per matched prediction: labels, texts and every item column. ``order`` and ``unique`` as in ``match_gold``."""
     item_columns = [c for c in gold.columns if c not in (on, "gold_label", "entropy_class")]
-    joined = match_gold(preds, gold, on, salts, order)
+    joined = match_gold(preds, gold, on, salts, order, unique)
     return joined.select(
         "custom_id",
         "predicted_label",

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.constants import VOTES_COLUMN
 from ..functions.text import nonblank, py_strip
+from ..operators.latest import checked_unique, last_rows
 from .checks import rename_unnamed_index, resolve_column
 
 
@@ -122,14 +123,20 @@ def read_json_array(spark: SparkSession, path: str | list[str], schema: T.Struct
 
 
 def label_lookup(
-    items: DataFrame, labels: DataFrame, on: str = "idx", label: str = "label", order: Sequence[str] | None = None
+    items: DataFrame,
+    labels: DataFrame,
+    on: str = "idx",
+    label: str = "label",
+    order: Sequence[str] | None = None,
+    unique: bool = False,
 ) -> DataFrame:
     """Left join of labels by ``on``. To look up by position, give both sides a row index first.
 
-    With ``order``, the last label row of an id by these columns counts. Without it ids of ``labels`` must be
-    unique: a repeated one repeats its items.
+    With ``order``, the last label row of an id by these columns counts. Without it a repeated id in ``labels`` stops the job;
+    ``unique`` promises that there is none and spares the check.
     """
     if order:
-        last = F.max_by(F.struct(label), F.struct(*order))
-        labels = labels.groupBy(on).agg(last[label].alias(label))
+        labels = last_rows(labels.select(on, label, *[c for c in order if c not in (on, label)]), [on], order)
+    elif not unique:
+        labels = checked_unique(labels, on, "the label table")
     return items.join(labels.select(on, label), on, "left")

@@ -57,6 +57,42 @@ def test_positions_are_not_ids(spark):
     assert A.progress(sheet).head()["position_share"] == pytest.approx(2 / 3)
 
 
+def test_resume_and_progress_without_a_sheet(spark, state):
+    """The same answers as from whole sheets: gaps at the start, inside and none, all done and none done, ids that are not positions."""
+    log = [(a, 10 * p, i, "save", "x", None) for a, done in {"d": range(7), "e": [0, 1, 2, 5], "f": [1, 2], "g": [6]}.items() for i, p in enumerate(done)]
+    both = state.withColumn("sample_id", F.col("sample_id") * 10).unionByName(A.latest_state(spark.createDataFrame(log, SCHEMA)))
+    positions = with_row_index(spark.range(7).select((F.col("id") * 10).alias("sample_id")), ["sample_id"], "position")
+    names = ["a", "b", "c", "d", "e", "f", "g"]
+    annotators = spark.createDataFrame([(n,) for n in names], "annotator_id string")
+    sheet = A.sheets(positions, both, F.array(*map(F.lit, names)))
+    for compat in (False, True):
+        labelled = A.labelled_positions(both, positions, resume_compat=compat)
+        got = {r["annotator_id"]: r["resume_at"] for r in A.resume_positions(labelled, annotators, F.lit(7)).collect()}
+        assert got == {r["annotator_id"]: r["resume_at"] for r in A.resume_position(sheet, resume_compat=compat).collect()}
+        assert (got["c"], got["d"], got["e"], got["f"], got["g"]) == (0, 0, 3, 0, 0)
+    labelled = A.labelled_positions(both, positions)
+    got = sorted(map(tuple, A.progress_by_annotator(labelled, annotators, F.lit(7).cast("bigint")).collect()))
+    assert got == sorted(map(tuple, A.progress(sheet).collect()))
+    # No row per sample and annotator is made, and nothing is sorted.
+    text = A.resume_positions(labelled, annotators, F.lit(7))._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in text and "NestedLoop" not in text and "SortAggregate" not in text
+
+
+def test_latest_state_with_ties_and_two_order_columns(spark):
+    rows = [("a", 0, 1, 5, "save", f"l{i}", "c") for i in range(5)] + [("a", 0, 1, 5, "save", "l4", "c")]
+    rows += [("b", 1, 2, 9, "skip", None, "second"), ("b", 1, 2, 8, "skip", None, "first"), ("b", 1, None, 1, "view", None, None)]
+    rows += [("c", 1, None, 3, "save", "without a time", None), ("c", 1, 0, 2, "save", "with one", None), ("d", 1, 7, 7, "view", None, None)]
+    df = spark.createDataFrame(rows, "annotator_id string, sample_id bigint, ts bigint, pos bigint, action string, labels string, comments string")
+    found = []
+    for parts in (1, 7):
+        got = {r["annotator_id"]: (r["labels"], r["comments"]) for r in A.latest_state(df.repartition(parts), ["ts", "pos"]).collect()}
+        assert got["b"] == ("Skipped", "first") and got["c"] == ("with one", None) and got["d"] == (None, None)
+        found.append(got)
+    assert found[0] == found[1] and len(found[0]) == 4
+    text = A.latest_state(df, ["ts", "pos"])._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in text and "SortMergeJoin" not in text
+
+
 def test_options(spark, state):
     rows = {r["option"]: r["n"] for r in A.option_counts(state, ["x", "y", "z"]).collect()}
     assert rows == {"x": 2, "y": 2, "z": 0}

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from agreelens.operators import latest
 from agreelens.operators import responses as R
 from agreelens.sources import tables
 
@@ -46,6 +47,44 @@ def test_match_gold_last_row_counts(spark):
     assert sorted(tuple(r) for r in rows) == [("1", "x", "b"), ("1", "y", "b"), ("2", "z", "c")]
 
 
+def test_repeated_gold_without_an_order_stops_the_job(spark):
+    preds = spark.createDataFrame([("1", "x")], "item_id string, p string")
+    gold = spark.createDataFrame([("1", 5, "b"), ("1", 0, "a")], "item_id string, row_id int, g string")
+    with pytest.raises(Exception, match="gold repeats values of item_id"):
+        R.match_gold(preds, gold).collect()
+    assert R.match_gold(preds, gold, unique=True).count() == 2
+    assert R.match_gold(preds, gold.filter("row_id = 5")).count() == 1
+    labels = gold.withColumnsRenamed({"item_id": "idx", "g": "label"})
+    with pytest.raises(Exception, match="the label table repeats values of idx"):
+        tables.label_lookup(spark.createDataFrame([("1",)], "idx string"), labels).collect()
+
+
+def test_last_rows_over_several_packs_nulls_and_copies(spark):
+    rows = [(k, a, b, c, f"{k}{a}{b}{c}{x}") for k in ("p", None) for a in (None, -3, 2) for b in (None, -1, 9) for c in (1, None) for x in "yz"]
+    rows += rows[:10]
+    df = spark.createDataFrame(rows, "k string, a bigint, b bigint, c int, payload string")
+    found = [sorted(map(str, latest.last_rows(df.repartition(n), ["k"], ["a", "b", "c"]).collect())) for n in (1, 5)]
+    assert found[0] == found[1] and len(found[0]) == 2
+    assert all("a=2, b=9, c=1" in r for r in found[0])
+    mixed = spark.createDataFrame([("1", 1.5, "b", True), ("1", 1.5, "c", False), ("1", None, "z", True)], "k string, d double, s string, f boolean")
+    assert tuple(latest.last_rows(mixed, ["k"], ["d", "s"]).head()) == ("1", 1.5, "c", False)
+    when = df.limit(4).select("k", F.expr("timestamp_ntz'2020-01-01' + make_interval(0, 0, 0, 0, 0, 0, c)").alias("t"), F.expr("date'1960-01-01'").alias("d"))
+    assert latest.last_rows(when, ["k"], ["d", "t"]).count() == 1
+
+
+def test_last_rows_neither_sort_nor_gather_payloads(spark):
+    df = spark.range(0, 10_000, 1, 4).select(
+        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50).alias("item_id"), F.col("id").alias("row_id"), F.md5(F.col("id").cast("string")).alias("text")
+    )
+    plan = R.dedupe_gold(df)
+    rows = {r["item_id"]: r["row_id"] for r in plan.collect()}
+    assert len(rows) == 50 and rows[0] == 9999
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in text and "SortMergeJoin" not in text and "ObjectHashAggregate" not in text
+    # The join is on key and order key, so a hot key is spread.
+    assert "ShuffledHashJoin" in text or "BroadcastHashJoin" in text
+
+
 @pytest.mark.parametrize("salts", [1, 4])
 def test_match_keeps_repeats_and_drops_unmatched(spark, salts):
     preds = spark.createDataFrame([("1", "x")] * 5 + [("2", "y"), ("7", "z"), (None, "n")], "item_id string, p string")
