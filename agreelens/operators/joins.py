@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -9,7 +10,12 @@ from pyspark.sql import functions as F
 
 
 def splittable_join(
-    left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", salts: int = 1
+    left: DataFrame,
+    right: DataFrame,
+    on: Sequence[str],
+    how: str = "inner",
+    salts: int = 1,
+    hot: Sequence[str] | None = None,
 ) -> DataFrame:
     """Join ``left`` (possibly with hot keys) to ``right`` (few rows per key): left columns, then right ones.
 
@@ -21,7 +27,8 @@ def splittable_join(
       that side its own shuffle and keeps the split possible.
     * ``salts>1`` spreads each key over that many partitions and copies ``right`` to match. It needs no AQE,
       so it is the choice for streams. The salt mixes row content with the input partition, so exact copies
-      are spread too and a retried task gives the same salts.
+      are spread too and a retried task gives the same salts. With ``hot``, only these values of the first key (as text) are spread, and
+      ``right`` is copied for them alone; ``hot_keys`` finds them.
 
     Keys are compared as text.
     """
@@ -32,8 +39,11 @@ def splittable_join(
         raise ValueError(f"columns on both sides of the join: {clash}")
     if salts > 1:
         content = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in kept]), F.lit(salts))
-        left = left.withColumn("_salt", F.pmod(content + F.spark_partition_id(), F.lit(salts)).cast("int"))
-        right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        salt, copies = F.pmod(content + F.spark_partition_id(), F.lit(salts)).cast("int"), F.sequence(F.lit(0), F.lit(salts - 1))
+        if hot is not None:
+            is_hot = F.col(f"`{on[0]}`").cast("string").isin(list(hot))
+            salt, copies = F.when(is_hot, salt).otherwise(0), F.when(is_hot, copies).otherwise(F.array(F.lit(0)))
+        left, right = left.withColumn("_salt", salt), right.withColumn("_salt", F.explode(copies))
     left, right = left.alias("l"), right.alias("r")
     condition = [
         F.col(f"l.`{k}`").cast("string") == F.concat(F.col(f"r.`{k}`").cast("string"), F.lit("")) for k in on
@@ -43,3 +53,16 @@ def splittable_join(
     return left.join(right, condition, how).select(
         *[F.col(f"l.`{c}`") for c in kept], *[F.col(f"r.`{c}`") for c in added]
     )
+
+
+def hot_keys(df: DataFrame, key: str, share: float) -> list[str]:
+    """Values of ``key``, as text, that may own at least ``share`` of the rows: at most ``1 / share`` of them, whatever the rows.
+
+    From a frequent-items sketch of fixed size per task, merged over all tasks. Its counts are upper bounds, so no value that owns the share is missed.
+    """
+    most = math.ceil(1 / share)
+    tracked = 1 << max(5, (16 * most).bit_length())
+    sketch = F.expr(f"approx_top_k(`_key`, {most}, {tracked})")
+    keyed = df.select(F.col(f"`{key}`").cast("string").alias("_key")).filter("_key is not null")
+    row = keyed.agg(sketch.alias("top"), F.count(F.lit(1)).alias("n")).head()
+    return [t["item"] for t in row["top"] or () if t["count"] >= share * row["n"]]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.annotation import STATE_KEYS, state_aggregates, unpack_state
+from . import deltas
 
 
 def stream_state(log: DataFrame, order: Sequence[str] = ("ts",), keys: Sequence[str] = STATE_KEYS) -> DataFrame:
@@ -19,24 +20,27 @@ def stream_state(log: DataFrame, order: Sequence[str] = ("ts",), keys: Sequence[
     return unpack_state(log.groupBy(*keys).agg(*state_aggregates(order)), keys)
 
 
-def run_to_table(state: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Append the keys each trigger changed, under its batch number; the full state is never rewritten."""
+def newest_versions(keys: Sequence[str] = STATE_KEYS) -> deltas.Fold:
+    """Of every key the version of the last batch that changed it."""
+
+    def fold(rows: DataFrame) -> DataFrame:
+        rest = [c for c in rows.columns if c not in (*keys, "batch_id")]
+        newest = F.max_by(F.struct(*rest), "batch_id").alias("_newest")
+        return rows.groupBy(*keys).agg(newest).select(*keys, "_newest.*")
 
-    def save(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+    return fold
 
-    writer = state.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+def run_to_table(state: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """Write the keys each trigger changed as its delta; the full state is never rewritten by the stream."""
+    return deltas.run_deltas(state, path, checkpoint, mode="update", available_now=available_now)
 
 
 def current_state(spark: SparkSession, path: str, keys: Sequence[str] = STATE_KEYS) -> DataFrame:
     """The newest version of every key."""
-    saved = spark.read.parquet(path)
-    rest = [c for c in saved.columns if c not in (*keys, "batch_id")]
-    newest = F.max_by(F.struct(*rest), "batch_id").alias("_newest")
-    return saved.groupBy(*keys).agg(newest).select(*keys, "_newest.*")
+    return deltas.read_table(spark, path, newest_versions(keys))
 
 
-def compact(spark: SparkSession, path: str, target: str) -> None:
-    """Write the current state as one table, from which old batch folders can be retired."""
-    current_state(spark, path).write.mode("errorifexists").parquet(target)
+def compact(spark: SparkSession, path: str, keys: Sequence[str] = STATE_KEYS) -> str | None:
+    """Fold the state so far into a base. The stream goes on as before, and readers take base and later deltas."""
+    return deltas.compact(spark, path, newest_versions(keys))
