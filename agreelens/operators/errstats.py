@@ -47,14 +47,15 @@ def numeric_correlations(
     keys: Sequence[str] = (),
     error: str = "error_flag",
 ) -> DataFrame:
-    """Point-biserial r and pair count per feature.
+    """Point-biserial r and pair count per feature; without any of the features in the table, no rows.
 
     One aggregate over the data with one ``corr`` per feature; only its single result row per key set is
     turned into feature rows, so the data is not multiplied by the number of features.
     """
     found = _present(df, features)
     if not found:
-        raise ValueError("none of the requested numeric features is a column of the table")
+        # An empty section with its columns, as where features are present but have no values.
+        return df.select(*keys, F.lit("").alias("feature"), F.lit(0.0).alias("correlation"), F.lit(0).cast("bigint").alias("n")).limit(0)
     flag = F.col(error).cast("double")
     rows = [
         F.struct(
@@ -80,14 +81,15 @@ def contingency(
     keys: Sequence[str] = (),
     error: str = "error_flag",
 ) -> DataFrame:
-    """Errors and non-errors per feature value: all features in one pass and one shuffle.
+    """Errors and non-errors per feature value: all features in one pass and one shuffle; without any of them in the table, no rows.
 
     A feature may be raw text with as many values as rows, so nothing downstream gathers the values of one
     feature in one place.
     """
     found = _present(df, features)
     if not found:
-        raise ValueError("none of the requested categorical features is a column of the table")
+        none = F.lit(0).cast("bigint")
+        return df.select(*keys, F.lit("").alias("feature"), F.lit("").alias("value"), none.alias("errors"), none.alias("non_errors")).limit(0)
     pairs = F.array(
         *[F.struct(F.lit(name).alias("feature"), category(col).alias("value")) for name, col in found.items()]
     )

@@ -88,8 +88,11 @@ def test_numeric_correlations(spark):
 def test_absent_features_are_skipped(spark):
     df = spark.createDataFrame([("a", 1)], "genre string, error_flag int")
     assert [r["feature"] for r in E.contingency(df).collect()] == ["genre"]
-    with pytest.raises(ValueError):
-        E.numeric_correlations(df)
+    # Without any of them the section is empty, with its columns, and so is what is built on it.
+    correlations = E.with_correlation_p(E.numeric_correlations(df))
+    assert correlations.columns == ["feature", "correlation", "n", "p_value"] and correlations.count() == 0
+    table = E.contingency(df.drop("genre"))
+    assert E.error_rates(table).count() == 0 and E.with_cramers_v(E.with_chi2_p(E.chi_square(table))).count() == 0
 
 
 def test_error_flag_and_ranking(spark):
@@ -115,6 +118,37 @@ def test_p_values():
     assert PV.correlation_p(z / math.sqrt(n - 2 + z * z), n) == pytest.approx(0.05, rel=1e-6)
 
 
+def test_tails_at_any_size():
+    """Fractions and expansions agree where both hold, and the tails follow the normal one far beyond."""
+    for s in (2e5, 1e6):
+        for z in (-4.0, -0.5, 0.0, 0.3, 2.0, 6.0):
+            x = s + z * math.sqrt(s)
+            PV_LARGE, PV.LARGE = PV.LARGE, math.inf
+            try:
+                by_fraction = PV.gamma_upper(s, x)
+            finally:
+                PV.LARGE = PV_LARGE
+            assert PV.gamma_upper_large(s, x) == pytest.approx(by_fraction, abs=1e-11, rel=1e-8)
+    for n in (4e5, 2e6):
+        for z in (0.01, 0.5, 2.0, 6.0):
+            half, rest = (n - 2) / 2, z * z / n
+            assert PV.beta_half_large(half, rest) == pytest.approx(PV.beta_regularized(half, 0.5, rest), abs=1e-10, rel=1e-7)
+    # At 1e10 degrees of freedom Wilson and Hilferty's cube root is normal to about 1e-11.
+    dof = 1e10
+    for z in (-3.0, -1.0, 0.0, 1.0, 2.5):
+        w = 2 / (9 * dof)
+        stat = dof * (1 - w + z * math.sqrt(w)) ** 3
+        assert PV.chi2_p(stat, dof) == pytest.approx(0.5 * math.erfc(z / math.sqrt(2)), abs=1e-10)
+        r = abs(z) / math.sqrt(dof + z * z)
+        assert PV.correlation_p(r, dof + 2) == pytest.approx(math.erfc(abs(z) / math.sqrt(2)), abs=1e-9)
+
+
+def test_values_that_do_not_converge_are_null(monkeypatch):
+    monkeypatch.setattr(PV, "STEPS", 3)
+    assert PV.chi2_p(9000.0, 9000.0) is None and PV.chi2_p(9500.0, 9000.0) is None
+    assert PV.correlation_p(0.02, 9000.0) is None
+
+
 def test_high_cardinality_feature_stays_distributed(spark):
     df = spark.range(0, 20_000, 1, 8).select(
         F.sha2(F.col("id").cast("string"), 256).alias("Target"), (F.col("id") % 2).cast("int").alias("error_flag")
