@@ -49,12 +49,26 @@ def label_token_ids(tokens: DataFrame, labels: Sequence[str] = LETTERS) -> Colum
 def logits_from_vectors(
     df: DataFrame, tokens: DataFrame, vector: str = "logits", labels: Sequence[str] = LETTERS
 ) -> DataFrame:
-    """Add ``logit_<label>`` from one dense logit vector per item: a projection, no explode, no shuffle."""
+    """Add ``logit_<label>`` from one dense logit vector per item: a projection, no explode, no shuffle.
+
+    A NULL in a vector is left out of its label's sum; a label without any value has a NULL logit; a label token beyond the vector's end
+    stops the job.
+    """
     with_ids = df.withColumn("_ids", label_token_ids(tokens, labels))
-    value = lambda i: F.get(F.col(vector), i.cast("int")).cast("double")
+
+    def value(i: Column) -> Column:
+        beyond = F.concat(F.lit("token id beyond the logit vector: "), i.cast("string"))
+        inside = (i >= 0) & (i < F.size(F.col(vector)))
+        return F.when(F.col(vector).isNull() | inside, F.get(F.col(vector), i.cast("int")).cast("double")).otherwise(
+            F.raise_error(beyond).cast("double")
+        )
+
+    def known(values: Column) -> Column:
+        return F.when(F.size(values) > 0, log_sum_exp(values))
+
     return with_ids.select(
         *df.columns,
-        *[log_sum_exp(F.transform(F.col(f"_ids.{x}"), value)).alias(f"logit_{x}") for x in labels],
+        *[known(F.filter(F.transform(F.col(f"_ids.{x}"), value), lambda v: v.isNotNull())).alias(f"logit_{x}") for x in labels],
     )
 
 
@@ -71,7 +85,8 @@ def logits_from_long(
     result, so there is no join that could shuffle a whole vocabulary per item. A log-sum-exp needs
     a shift to stay finite; instead of first finding each group's maximum (a second pass, or a window that
     holds a whole group), every value is summed within its own band of fixed width. Band sums are plain
-    partial aggregates, and the few bands of an item are combined at the end relative to the highest one.
+    partial aggregates, and the few bands of an item are combined at the end relative to the highest one. NULL logits are left out. A label all of whose
+    logits are NULL has a NULL logit; one without rows has minus infinity, as where only the highest logits are kept.
     """
     label = F.lit(None).cast("string")
     for name in reversed(labels):
@@ -83,16 +98,23 @@ def logits_from_long(
     # Above the range of whole bands (no real model gets there) the value is its own band.
     huge = (F.abs(x) >= 1e17) & (F.abs(x) < float("inf"))
     banded = scored.withColumn("_band", F.when(huge, x / _BAND).otherwise(F.floor(x / _BAND).cast("double")))
+    # An item of NULL logits alone still has a row; its bands are left out below.
     sums = banded.groupBy(*keys, item, "label", "_band").agg(F.sum(F.exp(x - F.col("_band") * _BAND)).alias("_s"))
     top = sums.groupBy(*keys, item).agg(
         *[
             F.map_from_entries(
-                F.collect_list(F.when(F.col("label") == label, F.struct("_band", "_s")))
+                F.collect_list(F.when((F.col("label") == label) & F.col("_band").isNotNull(), F.struct("_band", "_s")))
             ).alias(f"_{label}")
             for label in labels
-        ]
+        ],
+        *[F.count_if(F.col("label") == label).alias(f"_rows_{label}") for label in labels],
     )
-    return top.select(*keys, item, *[_combine_bands(F.col(f"_{x}")).alias(f"logit_{x}") for x in labels])
+
+    def combined(x: str) -> Column:
+        all_null = (F.size(f"_{x}") == 0) & (F.col(f"_rows_{x}") > 0)
+        return F.when(~all_null, _combine_bands(F.col(f"_{x}"))).alias(f"logit_{x}")
+
+    return top.select(*keys, item, *map(combined, labels))
 
 
 def _combine_bands(bands: Column) -> Column:
@@ -163,20 +185,53 @@ def keyed_convention(df: DataFrame, keys: Sequence[str], label: str = "label") -
     )
 
 
+def by_length(df: DataFrame, column: str, bands: int = 256, seed: int = 7, partitions: int | None = None) -> DataFrame:
+    """Rows regrouped so that neighbours in a task are about equally long, and all tasks have work of all lengths.
+
+    Lengths are cut into ``bands`` by approximate quantiles. A seeded hash deals the bands' rows to tasks, so that no task gets all long
+    texts and a hot band is spread; within its task, rows lie in order of length. A batch that is padded to its longest text
+    then wastes little. The order of rows changes: results belong to them by their own keys, never by position.
+    """
+    length = F.coalesce(F.length(F.col(column)), F.lit(0))
+    # One row of as many numbers as there are bands.
+    quantiles = F.percentile_approx("_length", [i / bands for i in range(1, bands)], 10 * bands)
+    edges = df.select(length.alias("_length")).agg(quantiles.alias("edges")).head()["edges"] or []
+    band = F.size(F.filter(F.lit(sorted(set(edges))).cast("array<int>"), lambda e: e < length))
+    spread = F.pmod(F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in df.columns if c != column], column), F.lit(1 << 20))
+    dealt = df.withColumns({"_length": length, "_band": band, "_spread": spread})
+    count = [partitions] if partitions else []
+    # A task takes whole stretches of a band, long enough for several batches.
+    dealt = dealt.repartition(*count, "_band", F.pmod("_spread", F.lit(64)))
+    return dealt.sortWithinPartitions("_length", "_spread").select(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def padding_share(df: DataFrame, column: str, batch_size: int) -> DataFrame:
+    """One row: characters, characters after padding each batch of neighbouring rows to its longest, and the share that is padding."""
+    length = F.coalesce(F.length(F.col(column)), F.lit(0)).cast("long")
+    place = F.monotonically_increasing_id()
+    rows = df.select(length.alias("_length"), F.shiftright(place, 33).alias("_task"), F.floor(place.bitwiseAND((1 << 33) - 1) / batch_size).alias("_batch"))
+    batches = rows.groupBy("_task", "_batch").agg(F.sum("_length").alias("own"), (F.max("_length") * F.count(F.lit(1))).alias("padded"))
+    own, padded = F.sum("own"), F.sum("padded")
+    return batches.agg(own.alias("characters"), padded.alias("padded"), F.try_divide(padded - own, padded).alias("padding_share"))
+
+
 def score_batches(
     df: DataFrame,
     make_scorer: Callable[[], Callable],
     column: str = "llm_prompt",
     labels: Sequence[str] = LETTERS,
     batch_size: int = 64,
+    group_lengths: bool = False,
 ) -> DataFrame:
     """Add ``logit_<label>`` from a model.
 
     ``make_scorer`` runs once per Python worker and returns a function from a batch of texts to an array of
-    shape (batch, labels). Batches travel by Arrow; the model never leaves the executors.
+    shape (batch, labels). Batches travel by Arrow; the model never leaves the executors. ``group_lengths`` shuffles rows so that
+    a batch holds texts of like lengths (``by_length``): worth it where a model pads its batches.
     """
     score = predict_batch_udf(make_scorer, return_type=T.ArrayType(T.DoubleType()), batch_size=batch_size)
-    scored = df.withColumn("_scores", score(F.col(column)))
+    rows = by_length(df, column) if group_lengths else df
+    scored = rows.withColumn("_scores", score(F.col(column)))
     return scored.select(
         *df.columns, *[F.get("_scores", F.lit(i)).alias(f"logit_{x}") for i, x in enumerate(labels)]
     )

@@ -43,10 +43,13 @@ def evaluation_summary(
     keys: Sequence[str] = (),
     stratum: str | None = None,
     strata: Sequence[str] = STRATA,
+    model: str | Column | None = None,
+    predictions_file: str | Column | None = None,
 ) -> DataFrame:
     """``keys, summary``: accuracy, averages, per-class metrics and label distribution as one JSON document.
 
-    With ``stratum`` (a column of ``counts``) the document also has a breakdown by it, with error counts.
+    With ``stratum`` (a column of ``counts``) the document also has a breakdown by it, with error counts. ``model`` and
+    ``predictions_file`` are named in it if given, as text or as an expression over ``keys``.
     """
     pair = counts.withColumn("_type", error_type(F.col("gold"), F.col("pred")))
 
@@ -86,7 +89,9 @@ def evaluation_summary(
         F.first(F.when(is_all, F.col("_overall")), ignorenulls=True).alias("_overall"),
         F.map_from_entries(F.collect_list(F.when(~is_all, F.struct("_scope", "_part")))).alias("_parts"),
     )
-    fields = [F.col("_overall.*")]
+    named = {"model": model, "predictions_file": predictions_file}
+    fields = [(F.lit(v) if isinstance(v, str) else v).alias(n) for n, v in named.items() if v is not None]
+    fields.append(F.col("_overall.*"))
     if stratum:
         fields.append(F.col("_parts").alias(f"{stratum.removesuffix('_class')}_breakdown"))
     flat = document.select(*keys, *fields)
@@ -126,3 +131,17 @@ def correlation_summary(correlations: DataFrame, tests: DataFrame, rates: DataFr
         .unionByName(section(tests, "categorical_associations", "cramers_v", "p_value"))
         .unionByName(section(rates, "error_rates_by_category", "value", "error_rate", "support"))
     )
+
+
+def leaves(documents: DataFrame, keys: Sequence[str] = (), column: str = "summary", depth: int = 5) -> DataFrame:
+    """``keys, path, value``: every figure or text of JSON documents with its path, as text; objects nested up to ``depth`` deep."""
+    rows = documents.select(*keys, F.lit("$").alias("path"), F.parse_json(column).alias("node"))
+    object_map = F.from_json(F.to_json("node"), "map<string, variant>")
+    is_object = F.startswith(F.schema_of_variant("node"), F.lit("OBJECT"))
+    out = None
+    for _ in range(depth + 1):
+        found = rows.filter(~is_object).select(*keys, "path", F.variant_get("node", "$", "string").alias("value"))
+        out = found if out is None else out.unionByName(found)
+        inner = rows.filter(is_object).select(*keys, F.col("path").alias("_parent"), F.explode(object_map).alias("_name", "node"))
+        rows = inner.select(*keys, F.concat("_parent", F.lit("."), "_name").alias("path"), "node")
+    return out

@@ -49,6 +49,30 @@ def with_file_order(df: DataFrame, name: str = "row_id") -> DataFrame:
     return with_row_index(ordered, ["_file", "_start", "_pos"], name).drop("_file", "_start", "_pos")
 
 
-def first_rows(df: DataFrame, n: int | None, order: Sequence[str]) -> DataFrame:
-    """The first n rows by ``order`` (all when n is None); each task keeps n rows at most."""
-    return df if n is None else df.orderBy(*order).limit(n)
+def first_rows(df: DataFrame, n: int | None, order: Sequence[str], in_one_task: int = 100_000) -> DataFrame:
+    """The first n rows by ``order`` (all when n is None); of rows equal in ``order`` which ones is open.
+
+    Up to ``in_one_task`` rows each task keeps its first n, and one merges them. More are selected where they lie: rows are dealt into
+    ranges of ``order`` and written, the ranges are counted, those wholly among the first n are taken as they are, and only the range that holds the n-th row
+    is cut. So no task sees more than a range, and nothing is sorted but that one.
+    """
+    if n is None or n <= in_one_task:
+        return df if n is None else df.orderBy(*order).limit(n)
+    spark, path = df.sparkSession, shared_dir(df.sparkSession, "first-rows")
+    # Given by number, ranges are not put together again for being small.
+    ranges = min(20_000, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * n // max(1, in_one_task)))
+    # Ties beyond the order must not make one range: the place among all rows breaks them.
+    placed = df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(ranges, *order, "_tie")
+    ranged = placed.withColumn("_range", F.spark_partition_id())
+    ranged.write.parquet(path)
+    staged = spark.read.schema(ranged.schema).parquet(path)
+    # One row per task of the shuffle.
+    before, last, rest = 0, -1, 0
+    for r in sorted(staged.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).collect()):
+        if before + r["n"] > n:
+            last, rest = r["_range"], n - before
+            break
+        before, last = before + r["n"], r["_range"] + 1
+    whole = staged.filter(F.col("_range") < last)
+    cut = staged.filter(F.col("_range") == last).orderBy(*order, "_tie").limit(rest)
+    return (whole.unionByName(cut) if rest else whole).select(*[F.col(f"`{c}`") for c in df.columns])

@@ -52,6 +52,38 @@ def test_logits_stay_finite_and_exact(spark, tokens, form):
             assert rows[i][f"logit_{letter}"] == pytest.approx(lse([v[j] for j in ids]), rel=1e-13), (i, letter)
 
 
+def test_null_logits_and_tokens_beyond_the_vector(spark, tokens):
+    vectors = [[1.0, None, None, 2.0, 0.0, 0.0, 0.0], [None] * 7]
+    df = spark.createDataFrame([*enumerate(vectors), (2, None)], "item_id int, logits array<double>")
+    dense = {r["item_id"]: tuple(r)[2:] for r in S.logits_from_vectors(df, tokens).collect()}
+    long = df.select("item_id", F.posexplode("logits").alias("token_id", "logit"))
+    by_band = {r["item_id"]: tuple(r)[1:] for r in S.logits_from_long(long, tokens).collect()}
+    assert dense[0] == (pytest.approx(1.0), None, pytest.approx(2.0)) and dense[1] == dense[2] == (None, None, None)
+    assert by_band == {0: dense[0], 1: dense[1]}
+    short = spark.createDataFrame([(0, [1.0, 2.0, 3.0])], "item_id int, logits array<double>")
+    with pytest.raises(Exception, match="token id beyond the logit vector: 3"):
+        S.logits_from_vectors(short, tokens).collect()
+
+
+def test_batches_of_like_lengths_waste_little(spark):
+    df = spark.range(0, 20_000, 1, 4).select("id", F.repeat(F.lit("x"), (F.pmod(F.xxhash64("id"), F.lit(20)) ** 2 + 1).cast("int")).alias("llm_prompt"))
+    before = S.padding_share(df, "llm_prompt", 64).head()
+    grouped = S.by_length(df, "llm_prompt", partitions=4)
+    after = S.padding_share(grouped, "llm_prompt", 64).head()
+    assert before["characters"] == after["characters"] and before["padding_share"] > 0.6 and after["padding_share"] < 0.05
+    # No task gets all the long texts.
+    work = [r["n"] for r in grouped.groupBy(F.spark_partition_id()).agg(F.sum(F.length("llm_prompt")).alias("n")).collect()]
+    assert max(work) < 1.3 * min(work)
+
+    def make_scorer():
+        return lambda texts: np.array([[len(t), 0.0, 1.0] for t in texts])
+
+    scored = S.score_batches(df, make_scorer, group_lengths=True)
+    assert scored.count() == 20_000 and scored.filter("logit_E <> length(llm_prompt)").count() == 0
+    odd = spark.createDataFrame([(1, None), (2, ""), (2, "")], "id int, llm_prompt string")
+    assert S.by_length(odd, "llm_prompt").count() == 3 and S.by_length(odd.limit(0), "llm_prompt").count() == 0
+
+
 def test_many_copies_of_one_item(spark, tokens):
     copies = spark.range(0, 50_000, 1, 8).select(
         F.lit("hot").alias("item_id"), (F.col("id") % 4).cast("int").alias("token_id"), F.lit(700.0).alias("logit")

@@ -1,5 +1,6 @@
 import csv
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -163,6 +164,23 @@ def test_first_rows(spark):
     assert [r["id"] for r in first_rows(df, 3, ["id"]).collect()] == [0, 1, 2]
 
 
+@pytest.mark.parametrize("n", [0, 1, 1500, 9_000, 10_000, 20_000])
+def test_first_rows_selected_by_ranges(spark, n):
+    # Half of all rows tie on the order column.
+    df = spark.range(0, 10_000, 1, 8).select(F.when(F.col("id") % 2 == 0, 5000).otherwise(F.col("id")).alias("k"), F.col("id").alias("payload"))
+    got = [r["k"] for r in first_rows(df, n, ["k"], in_one_task=0).collect()]
+    want = sorted(5000 if i % 2 == 0 else i for i in range(10_000))[:n]
+    assert sorted(got) == want
+
+
+def test_first_rows_gather_no_large_part(spark):
+    df = spark.range(0, 40_000, 1, 8).select(F.col("id").alias("k"))
+    plan = first_rows(df, 36_000, ["k"], in_one_task=1000)
+    assert plan.count() == 36_000
+    limits = re.findall(r"(?:TakeOrderedAndProject|GlobalLimit|LocalLimit)\D*(\d+)", plan._jdf.queryExecution().executedPlan().toString())
+    assert limits and all(int(x) < 2000 for x in limits)
+
+
 def test_file_counts_and_provenance(spark, tmp_path):
     spark.range(3).coalesce(1).write.parquet(str(tmp_path / "a"))
     spark.range(5).coalesce(1).write.parquet(str(tmp_path / "b"))
