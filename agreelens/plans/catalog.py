@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,6 +18,7 @@ from ..operators import errstats as E
 from ..operators import metrics as M
 from ..operators import probes as P
 from ..operators import prompts as PR
+from ..operators import representations as RP
 from ..operators import responses as R
 from ..operators import scoring as S
 from ..operators import summary as SU
@@ -79,6 +81,8 @@ def joined(spark: SparkSession, sf_dir: str, mode: str = "letter") -> DataFrame:
     return R.match_gold(
         preds(spark, sf_dir, mode).select("run", "item_id", "predicted_label"),
         gold(spark, sf_dir).select("item_id", "gold_label", "entropy_class"),
+        # Gold is an aggregate by item.
+        unique=True,
     )
 
 
@@ -98,13 +102,24 @@ def dense_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.logits_from_vectors(W.logit_vectors(spark, sf_dir), W.tokens(spark, sf_dir))
 
 
+ANNOTATORS = 10
+
+
+def annotation_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.latest_state(W.annotation_log(W.table(spark, sf_dir, "events")))
+
+
 def sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = W.annotation_log(W.table(spark, sf_dir, "events"))
-    annotators = F.sequence(F.lit(0).cast("bigint"), F.lit(9).cast("bigint"))
-    # The sample table is numbered once; sheets read the numbers.
-    numbered, path = with_row_index(W.samples(spark, sf_dir), ["sample_id"], "position"), shared_dir(spark, "samples")
-    numbered.write.parquet(path)
-    return A.sheets(spark.read.schema(numbered.schema).parquet(path), A.latest_state(log), annotators)
+    annotators = F.sequence(F.lit(0).cast("bigint"), F.lit(ANNOTATORS - 1).cast("bigint"))
+    return A.sheets(W.samples(spark, sf_dir), annotation_state(spark, sf_dir), annotators)
+
+
+def open_positions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Column]:
+    """Labelled positions, annotators and number of samples, for resume and progress; no sheet is written out."""
+    positions = with_row_index(W.samples(spark, sf_dir), ["sample_id"], "position")
+    labelled = A.labelled_positions(annotation_state(spark, sf_dir), positions)
+    annotators = spark.range(ANNOTATORS).select(F.col("id").alias("annotator_id"))
+    return labelled, annotators, positions.agg(F.count(F.lit(1)).alias("n")).scalar()
 
 
 def folded_layers(spark: SparkSession, sf_dir: str, order_by: str = "hash") -> DataFrame:
@@ -163,6 +178,34 @@ def _fingerprint(df):
     )
 
 
+@register
+def label_lookup_repeats(spark, sf_dir):
+    """Labels of which the last line of an order counts."""
+    orders = W.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("idx"), "o_orderstatus")
+    lines = W.table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("idx"), (F.col("l_suppkey") % 3).alias("label"), "l_linenumber", "l_partkey", "l_suppkey"
+    )
+    return tidy(tables.label_lookup(orders, lines, order=["l_linenumber", "l_partkey", "l_suppkey"]))
+
+
+@register
+def head_large(spark, sf_dir):
+    """Nine tenths of the items, of which no task gathers them all."""
+    items = W.items(spark, sf_dir)
+    return first_rows(items, items.count() * 9 // 10, ["item_id"], in_one_task=1000)
+
+
+@register
+def rt_positional(spark, sf_dir):
+    """Items written as CSV under other names and read by position."""
+    path = shared_dir(spark, "rt-positional")
+    i = W.items(spark, sf_dir)
+    cells = {"n0": "item_id", "n1": "genre", "n2": "genre", "n3": "genre", "p1": "verb", "p2": "genre", "h": "verb", "raw": "votes_str"}
+    sinks.write_csv(i.select(*[F.col(c).cast("string").alias(n) for n, c in cells.items()]), path)
+    read = tables.read_items_by_position(spark, path)
+    return read.select(F.col("_c0").cast("bigint").alias("item_id"), "premise", "hypothesis", "votes_str")
+
+
 @register
 def rt_csv(spark, sf_dir):
     path = shared_dir(spark, "rt-csv")
@@ -340,6 +383,21 @@ def eval_join(spark, sf_dir):
     return tidy(joined(spark, sf_dir))
 
 
+@register
+def eval_join_dup_gold(spark, sf_dir):
+    """Predictions against gold with a row per order line, of which the last counts."""
+    lines = W.table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").cast("string").alias("item_id"),
+        F.element_at(F.array(*map(F.lit, LABELS)), (F.col("l_partkey") % 3 + 1).cast("int")).alias("gold_label"),
+        "l_linenumber",
+        "l_partkey",
+        "l_suppkey",
+    )
+    predicted = preds(spark, sf_dir).select("run", "item_id", "predicted_label")
+    matched = R.match_gold(predicted, lines, order=["l_linenumber", "l_partkey", "l_suppkey"])
+    return tidy(matched.select("run", "item_id", "predicted_label", "gold_label"))
+
+
 @register
 def eval_join_salted(spark, sf_dir):
     return tidy(
@@ -347,6 +405,7 @@ def eval_join_salted(spark, sf_dir):
             preds(spark, sf_dir).select("run", "item_id", "predicted_label"),
             gold(spark, sf_dir).select("item_id", "gold_label", "entropy_class"),
             salts=4,
+            unique=True,
         )
     )
 
@@ -360,7 +419,7 @@ def eval_unmatched(spark, sf_dir):
 @register
 def detailed_eval(spark, sf_dir):
     predicted = preds(spark, sf_dir, "word").select("custom_id", "item_id", "predicted_label", "content", "reasoning")
-    return R.detailed_records(predicted, gold(spark, sf_dir))
+    return R.detailed_records(predicted, gold(spark, sf_dir), unique=True)
 
 
 # ------------------------------------------------------------------------------------ metrics
@@ -475,6 +534,26 @@ def summary_fields(spark, sf_dir):
     return tidy(summary_json(spark, sf_dir).select("run", *fields))
 
 
+def _numbers(leaves: DataFrame) -> DataFrame:
+    """Leaves with their figures rounded; text leaves beside them."""
+    number = F.col("value").try_cast("double")
+    return tidy(leaves.select(*[c for c in leaves.columns if c != "value"], number.alias("number"), F.when(number.isNull(), F.col("value")).alias("text")))
+
+
+@register
+def summary_leaves(spark, sf_dir):
+    """Every figure of the summary documents, with model and predictions file."""
+    by_stratum = counts(spark, sf_dir, keys=["run", "entropy_class"], mode="word")
+    name = F.concat(F.lit("run"), F.col("run").cast("string"), F.lit(".json"))
+    documents = SU.evaluation_summary(by_stratum, keys=["run"], stratum="entropy_class", model="some/model", predictions_file=name)
+    return _numbers(SU.leaves(documents, ["run"]))
+
+
+@register
+def run_summary_leaves(spark, sf_dir):
+    return _numbers(SU.leaves(run_summary_json(spark, sf_dir)))
+
+
 @register
 def run_summary_json(spark, sf_dir):
     return SU.run_summary(_letter_counts(spark, sf_dir), model="dense-logits", batch_size=4, seed=7)
@@ -562,6 +641,15 @@ def length_scorer():
     return score
 
 
+@register
+def batch_score_by_length(spark, sf_dir):
+    """The same scores from batches of texts of like lengths."""
+    prompts = PR.prompt_input(PR.add_prompt(W.pairs(spark, sf_dir)))
+    scored_batches = S.score_batches(prompts, length_scorer, group_lengths=True)
+    labelled = S.predict_label(S.label_probabilities(scored_batches))
+    return tidy(labelled.select("conv_id", "turn", *[f"logit_{x}" for x in LETTERS], "prediction"))
+
+
 @register
 def batch_score(spark, sf_dir):
     prompts = PR.prompt_input(PR.add_prompt(W.pairs(spark, sf_dir)))
@@ -585,7 +673,7 @@ def corr_numeric(spark, sf_dir):
 
 @register
 def corr_pvalue(spark, sf_dir):
-    return E.with_correlation_p(E.numeric_correlations(error_table(spark, sf_dir), W.EVAL_NUMERIC))
+    return tidy(E.with_correlation_p(E.numeric_correlations(error_table(spark, sf_dir), W.EVAL_NUMERIC)))
 
 
 @register
@@ -600,7 +688,7 @@ def chi2(spark, sf_dir):
 
 @register
 def chi2_pvalue(spark, sf_dir):
-    return E.with_chi2_p(E.chi_square(contingency_table(spark, sf_dir)))
+    return tidy(E.with_chi2_p(E.chi_square(contingency_table(spark, sf_dir))), 6)
 
 
 @register
@@ -623,7 +711,16 @@ def error_rate_top(spark, sf_dir):
 def correlation_report(spark, sf_dir):
     table = contingency_table(spark, sf_dir)
     tests = E.with_cramers_v(E.with_chi2_p(E.chi_square(table)))
-    return SU.correlation_summary(corr_pvalue(spark, sf_dir), tests, E.error_rates(table))
+    correlations = E.with_correlation_p(E.numeric_correlations(error_table(spark, sf_dir), W.EVAL_NUMERIC))
+    return SU.correlation_summary(correlations, tests, E.error_rates(table))
+
+
+@register
+def correlation_leaves(spark, sf_dir):
+    """Every figure of the report, with the value that it belongs to where there is one."""
+    report = correlation_report(spark, sf_dir).withColumn("value_of", F.get_json_object("entry", "$.value"))
+    found = _numbers(SU.leaves(report, ["section", "feature", "value_of"], "entry"))
+    return found.filter("path <> '$.value'").select("section", "feature", "value_of", "path", F.round("number", 6).alias("number"))
 
 
 # ------------------------------------------------------------------------------------ probes
@@ -644,6 +741,47 @@ def probe_folds(spark, sf_dir):
     return tidy(folded_layers(spark, sf_dir, order_by="group").select("item_id", "layer", "group", "label", "fold"))
 
 
+@register
+def probe_folds_balanced(spark, sf_dir):
+    """Folds for groups of unlike size, one of which owns a third of the items."""
+    one_layer = W.layers(spark, sf_dir).filter("layer = 0").drop("vec")
+    skewed = one_layer.withColumn("group", F.when(F.col("item_id") % 3 == 0, 0).otherwise(F.col("item_id") % 50).cast("int"))
+    folds = P.balanced_fold_table(skewed, 5, order_by="group")
+    counted = P.with_folds(skewed, folds).groupBy("group", "fold", "label").agg(F.count(F.lit(1)).alias("n"))
+    return tidy(counted)
+
+
+def _length_encoder():
+    """A stand-in model of three layers of two numbers, from the text length."""
+
+    def encode(texts):
+        n = np.array([len(t) for t in texts], dtype="float64")
+        return np.stack([f for i in (2, 3, 4) for f in (n % i, n // i % 11)], axis=1).astype("float32")
+
+    return encode
+
+
+@register
+def probe_representations(spark, sf_dir):
+    """Representations of documents, staged once, and joined to labels and groups where they lie."""
+    texts = W.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), "text")
+    reps = S.layer_representations(texts, _length_encoder, layers=3)
+    name = f"representations_{uuid.uuid4().hex}"
+    RP.stage_representations(reps, name, buckets=8)
+    items = W.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.col("source").alias("group"))
+    labels = W.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("item_id"), F.col("quality").alias("label"))
+    joined = RP.labelled_representations(spark, name, items.join(labels, "item_id"))
+    return tidy(joined.select("item_id", "layer", F.col("vec")[0].alias("first"), F.col("vec")[1].alias("second"), "label", "group"))
+
+
+@register
+def probe_gradient(spark, sf_dir):
+    """The gradient of every layer's objective at its fit: zero where the fit is the optimum, which is unique."""
+    reps = W.layers(spark, sf_dir)
+    fitted = P.probe_parameters(spark, P.final_probes(reps)).filter("weights is not null")
+    return tidy(P.gradient_at(reps, fitted), 5)
+
+
 @register
 def probe_oof(spark, sf_dir):
     return P.out_of_fold(folded_layers(spark, sf_dir))
@@ -664,17 +802,26 @@ def probe_final(spark, sf_dir):
 
 @register
 def annot_state(spark, sf_dir):
-    return tidy(sheet(spark, sf_dir).drop("position")).orderBy("annotator_id", "sample_id")
+    return tidy(sheet(spark, sf_dir)).orderBy("annotator_id", "sample_id")
 
 
 @register
 def annot_resume(spark, sf_dir):
-    return tidy(A.resume_position(sheet(spark, sf_dir)))
+    return tidy(A.resume_positions(*open_positions(spark, sf_dir)))
 
 
 @register
 def annot_progress(spark, sf_dir):
-    return tidy(A.progress(sheet(spark, sf_dir)))
+    return tidy(A.progress_by_annotator(*open_positions(spark, sf_dir)))
+
+
+@register
+def annot_export(spark, sf_dir):
+    """One annotator's sheet written as CSV and read back."""
+    path = shared_dir(spark, "annot-export")
+    own = sheet(spark, sf_dir).filter(F.col("annotator_id") == 3).select("sample_id", "labels", "comments")
+    sinks.write_csv(own, path)
+    return tidy(tables.read_csv(spark, path, keep_empty=False).withColumn("sample_id", F.col("sample_id").cast("bigint")))
 
 
 @register
@@ -696,8 +843,8 @@ def stream_confusion(spark, sf_dir):
     built, gold_dir = gold(spark, sf_dir), shared_dir(spark, "stream-gold")
     built.write.parquet(gold_dir)
     static = spark.read.schema(built.schema).parquet(gold_dir)
-    live = stream_evaluation.stream_confusion(W.response_columns(stream), static, keys=["run"])
-    stream_evaluation.run_to_table(live, out, checkpoint).awaitTermination()
+    live = W.response_columns(stream)
+    stream_evaluation.run_confusion(live, static, out, checkpoint, keys=["run"]).awaitTermination()
     return tidy(stream_evaluation.latest_counts(spark, out))
 
 
@@ -710,3 +857,15 @@ def stream_annot(spark, sf_dir):
     live = stream_annotation.stream_state(W.annotation_log(stream))
     stream_annotation.run_to_table(live, out, checkpoint).awaitTermination()
     return tidy(stream_annotation.current_state(spark, out))
+
+
+@register
+def stream_annot_compacted(spark, sf_dir):
+    """The same state out of a compacted base."""
+    source = W.table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(source).parquet(f"{sf_dir}/events*.parquet")
+    out, checkpoint = shared_dir(spark, "stream"), shared_dir(spark, "stream-checkpoint")
+    live = stream_annotation.stream_state(W.annotation_log(stream))
+    stream_annotation.run_to_table(live, out, checkpoint).awaitTermination()
+    stream_annotation.compact(spark, out)
+    return tidy(stream_annotation.current_state(spark, out))

@@ -296,6 +296,75 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
            FROM (SELECT grp, max_by(label, n * 1000 - label) AS cls
                  FROM (SELECT grp, label, count(*) AS n FROM layers WHERE layer = 0 GROUP BY grp, label) GROUP BY grp)""",
     ),
+    # Numbers of classes per group of unlike size, the largest first.
+    "skewed": (
+        (),
+        """SELECT vec_id AS item_id, label % 3 AS label, CASE WHEN vec_id % 3 = 0 THEN 0 ELSE vec_id % 50 END AS grp FROM embeddings""",
+    ),
+    "by_size": (
+        ("skewed",),
+        """SELECT grp, count(*) AS size, [count(CASE WHEN label = 0 THEN 1 END), count(CASE WHEN label = 1 THEN 1 END),
+             count(CASE WHEN label = 2 THEN 1 END)] AS c FROM skewed GROUP BY grp""",
+    ),
+    # State: loads (five folds of three classes, one after the other) and the folds so far.
+    "placed": (
+        ("by_size", "skewed"),
+        """SELECT list_reduce(
+             list_transform(gs, lambda g: {'loads': g.c, 'folds': [g.grp]}),
+             lambda s, g: list_transform(
+               [list_transform(range(5), lambda f: [CAST(s.loads[3 * f + 1] * g.loads[1] AS DOUBLE) / (t[1] * t[1])
+                 + CAST(s.loads[3 * f + 2] * g.loads[2] AS DOUBLE) / (t[2] * t[2])
+                 + CAST(s.loads[3 * f + 3] * g.loads[3] AS DOUBLE) / (t[3] * t[3]),
+                 CAST(s.loads[3 * f + 1] + s.loads[3 * f + 2] + s.loads[3 * f + 3] AS DOUBLE)])],
+               lambda added: {'loads': list_transform(range(1, 16), lambda i: s.loads[i] + CASE
+                 WHEN (i - 1) // 3 = list_position(added, list_min(added)) - 1 THEN g.loads[(i - 1) % 3 + 1] ELSE 0 END),
+                 'folds': list_append(s.folds, list_position(added, list_min(added)) - 1)})[1],
+             {'loads': list_transform(range(15), lambda i: CAST(0 AS BIGINT)), 'folds': CAST([] AS BIGINT[])}).folds AS folds,
+             list_transform(gs, lambda g: g.grp) AS grps
+           FROM (SELECT list({'grp': grp, 'c': c} ORDER BY size DESC, grp) AS gs FROM by_size),
+             (SELECT [count(CASE WHEN label = 0 THEN 1 END), count(CASE WHEN label = 1 THEN 1 END),
+                count(CASE WHEN label = 2 THEN 1 END)] AS t FROM skewed)""",
+    ),
+    # Upper tails by power series of positive terms.
+    "corr_tails": (
+        ("flagged",),
+        """SELECT feature, correlation, n, CASE WHEN n = 2 THEN 1 ELSE greatest(0, 1 - power(correlation * correlation, 0.5)
+             * exp((n - 2) / 2.0 * ln(1 - correlation * correlation) + lgamma((n - 1) / 2.0) - lgamma((n - 2) / 2.0) - lgamma(0.5)) / 0.5
+             * list_sum(list_transform(range(20000), lambda i: exp(lgamma((n - 1) / 2.0 + i) - lgamma((n - 1) / 2.0)
+               - lgamma(1.5 + i) + lgamma(1.5) + i * ln(correlation * correlation))))) END AS p
+           FROM (SELECT 'n_chars' AS feature, corr(CAST(err AS DOUBLE), CAST(n_chars AS DOUBLE)) AS correlation, count(n_chars) AS n FROM flagged
+             UNION ALL SELECT 'text_length', corr(CAST(err AS DOUBLE), CAST(text_length AS DOUBLE)), count(text_length) FROM flagged)""",
+    ),
+    "chi2_tails": (
+        ("tests",),
+        """SELECT feature, chi2, n, k, CASE WHEN chi2 <= 0 THEN 1 ELSE greatest(0, 1 - exp(-chi2 / 2 + (k - 1) / 2.0 * ln(chi2 / 2) - lgamma((k + 1) / 2.0))
+             * list_sum(list_transform(range(5000), lambda i: exp(i * ln(chi2 / 2) - lgamma((k + 1) / 2.0 + i) + lgamma((k + 1) / 2.0))))) END AS p
+           FROM tests""",
+    ),
+    # Counts per run, scope (all, or a stratum) and class.
+    "scopes": (
+        ("joined",),
+        """SELECT run, 'all' AS scope, gold_label AS gold, by_word AS pred FROM joined
+           UNION ALL SELECT run, entropy_class, gold_label, by_word FROM joined""",
+    ),
+    "classes": (
+        ("scopes",),
+        """SELECT run, scope, label, total, right_, support, predicted, tp,
+             CASE WHEN predicted = 0 THEN 0 ELSE CAST(tp AS DOUBLE) / predicted END AS precision,
+             CASE WHEN support = 0 THEN 0 ELSE CAST(tp AS DOUBLE) / support END AS recall,
+             CASE WHEN predicted + support = 0 THEN 0 ELSE 2 * CAST(tp AS DOUBLE) / (predicted + support) END AS f1
+           FROM (SELECT run, scope, label, count(*) AS total, count(CASE WHEN gold = pred THEN 1 END) AS right_,
+               count(CASE WHEN gold = label THEN 1 END) AS support, count(CASE WHEN pred = label THEN 1 END) AS predicted,
+               count(CASE WHEN gold = label AND pred = label THEN 1 END) AS tp
+             FROM scopes CROSS JOIN (SELECT unnest(['entailment', 'neutral', 'contradiction']) AS label) GROUP BY run, scope, label)""",
+    ),
+    "averages": (
+        ("classes",),
+        """SELECT run, scope, CAST(any_value(total) AS DOUBLE) AS total, CAST(any_value(right_) AS DOUBLE) AS right_, CAST(any_value(right_) AS DOUBLE) / any_value(total) AS accuracy,
+             avg(f1) AS macro_f1, sum(CASE WHEN predicted + support > 0 THEN f1 END) / count(CASE WHEN predicted + support > 0 THEN 1 END) AS macro_present,
+             CASE WHEN sum(predicted) + sum(support) = 0 THEN 0 ELSE 2 * CAST(sum(tp) AS DOUBLE) / (sum(predicted) + sum(support)) END AS micro_f1,
+             sum(f1 * support) / sum(support) AS weighted_f1, CAST(sum(support) AS DOUBLE) AS with_gold FROM classes GROUP BY run, scope""",
+    ),
 }
 
 
@@ -636,10 +705,103 @@ SELECTS: dict[str, tuple[tuple[str, ...], str]] = {
         ("joined",),
         "SELECT run, gold_label AS gold, by_letter AS pred, count(*) AS n FROM joined GROUP BY ALL",
     ),
+    "annot_export": (
+        ("sheet",),
+        "SELECT sample_id, labels, comments FROM sheet WHERE annotator_id = 3",
+    ),
+    "label_lookup_repeats": (
+        (),
+        """SELECT o_orderkey AS idx, o_orderstatus, label FROM orders LEFT JOIN (
+             SELECT l_orderkey AS idx, l_suppkey % 3 AS label FROM lineitem
+             QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_partkey DESC, l_suppkey DESC) = 1) l
+           ON l.idx = o_orderkey""",
+    ),
+    "head_large": (
+        ("items",),
+        """SELECT * FROM items QUALIFY row_number() OVER (ORDER BY item_id) <= (SELECT count(*) * 9 // 10 FROM items)""",
+    ),
+    "rt_positional": (
+        ("items",),
+        "SELECT item_id, verb || ' ' || genre AS premise, verb AS hypothesis, votes_str FROM items",
+    ),
+    "eval_join_dup_gold": (
+        ("preds",),
+        """SELECT run, p.item_id, by_letter AS predicted_label, gold_label FROM preds p JOIN (
+             SELECT CAST(l_orderkey AS VARCHAR) AS item_id, ['entailment', 'neutral', 'contradiction'][l_partkey % 3 + 1] AS gold_label FROM lineitem
+             QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_partkey DESC, l_suppkey DESC) = 1) g
+           ON g.item_id = p.item_id""",
+    ),
+    "corr_pvalue": (
+        ("corr_tails",),
+        "SELECT feature, round(correlation, 8) AS correlation, n, round(p, 8) AS p_value FROM corr_tails",
+    ),
+    "chi2_pvalue": (
+        ("chi2_tails",),
+        "SELECT feature, round(chi2, 6) AS chi2, n, k AS value_count, k - 1 AS dof, round(p, 6) AS p_value FROM chi2_tails",
+    ),
+    "correlation_leaves": (
+        ("corr_tails", "chi2_tails", "cramer", "cells"),
+        """SELECT 'numerical_correlations' AS section, feature, CAST(NULL AS VARCHAR) AS value_of, path, round(number, 6) AS number FROM (
+             SELECT feature, '$.correlation' AS path, correlation AS number FROM corr_tails UNION ALL SELECT feature, '$.p_value', p FROM corr_tails)
+           UNION ALL SELECT 'categorical_associations', feature, NULL, '$.p_value', round(p, 6) FROM chi2_tails
+           UNION ALL SELECT 'categorical_associations', feature, NULL, '$.cramers_v', round(CASE WHEN d = 0 THEN 0 ELSE sqrt(phi2 / d) END, 6) FROM cramer
+           UNION ALL SELECT 'error_rates_by_category', feature, value, '$.error_rate', round(CAST(errors AS DOUBLE) / (errors + non_errors), 6) FROM cells
+           UNION ALL SELECT 'error_rates_by_category', feature, value, '$.support', CAST(errors + non_errors AS DOUBLE) FROM cells""",
+    ),
+    "summary_leaves": (
+        ("classes", "averages", "joined"),
+        """SELECT run, path, round(number, 8) AS number, CAST(NULL AS VARCHAR) AS text FROM (
+             SELECT run, unnest([('$.num_examples', total), ('$.num_with_gold', with_gold), ('$.accuracy', accuracy), ('$.macro_f1', macro_f1),
+               ('$.micro_f1', micro_f1), ('$.weighted_f1', weighted_f1), ('$.correct_predictions', right_)]) AS x, x[1] AS path, x[2] AS number
+             FROM averages WHERE scope = 'all'
+             UNION ALL SELECT run, unnest([('.total', total), ('.accuracy', accuracy), ('.macro_f1', macro_present), ('.micro_f1', micro_f1)]) AS x,
+               '$.entropy_breakdown.' || scope || x[1], x[2] FROM averages WHERE scope <> 'all'
+             UNION ALL SELECT run, unnest([('.precision', precision), ('.recall', recall), ('.f1', f1), ('.support', CAST(support AS DOUBLE))]) AS x,
+               '$.' || CASE WHEN scope = 'all' THEN '' ELSE 'entropy_breakdown.' || scope || '.' END || 'per_class_metrics.' || label || x[1], x[2] FROM classes
+             UNION ALL SELECT run, unnest([('.gold.', CAST(support AS DOUBLE)), ('.predictions.', CAST(predicted AS DOUBLE))]) AS x,
+               '$.label_distribution' || x[1] || label, x[2] FROM classes WHERE scope = 'all'
+             UNION ALL SELECT run, NULL, '$.entropy_breakdown.' || entropy_class || '.errors.Gold:' || upper(left(gold_label, 3)) || ' -> Pred:' || upper(left(by_word, 3)),
+               CAST(count(*) AS DOUBLE) FROM joined WHERE by_word <> gold_label GROUP BY run, entropy_class, gold_label, by_word)
+           UNION ALL SELECT DISTINCT run, '$.model', NULL, 'some/model' FROM joined
+           UNION ALL SELECT DISTINCT run, '$.predictions_file', NULL, 'run' || run || '.json' FROM joined""",
+    ),
+    "run_summary_leaves": (
+        ("scored",),
+        """SELECT path, round(number, 8) AS number, CAST(NULL AS VARCHAR) AS text FROM (
+             SELECT unnest([('$.num_examples', count(*)), ('$.num_with_gold', count(gold_label)),
+               ('$.accuracy', count(CASE WHEN gold_label = prediction THEN 1 END) / CAST(count(gold_label) AS DOUBLE)),
+               ('$.unknown_prediction_count', count(CASE WHEN prediction NOT IN ('E', 'N', 'C') THEN 1 END)),
+               ('$.prediction_counts.E', count(CASE WHEN prediction = 'E' THEN 1 END)), ('$.prediction_counts.N', count(CASE WHEN prediction = 'N' THEN 1 END)),
+               ('$.prediction_counts.C', count(CASE WHEN prediction = 'C' THEN 1 END)),
+               ('$.prediction_counts.UNKNOWN', count(CASE WHEN prediction NOT IN ('E', 'N', 'C') THEN 1 END)),
+               ('$.batch_size', 4.0), ('$.seed', 7.0)]) AS x, x[1] AS path, CAST(x[2] AS DOUBLE) AS number FROM scored)
+           UNION ALL SELECT '$.model', NULL, 'dense-logits'""",
+    ),
+    "probe_folds_balanced": (
+        ("placed", "skewed"),
+        """SELECT CAST(s.grp AS BIGINT) AS "group", CAST(f.fold AS BIGINT) AS fold, CAST(label AS BIGINT) AS label, count(*) AS n
+           FROM skewed s JOIN (SELECT unnest(grps) AS grp, unnest(folds) AS fold FROM placed) f ON f.grp = s.grp GROUP BY ALL""",
+    ),
+    "probe_representations": (
+        (),
+        """SELECT d.doc_id AS item_id, CAST(i - 2 AS BIGINT) AS layer, CAST(length(coalesce(text, '')) % i AS DOUBLE) AS first,
+             CAST(length(coalesce(text, '')) // i % 11 AS DOUBLE) AS second, CAST(quality AS BIGINT) AS label, source AS "group"
+           FROM documents d JOIN labels l ON l.doc_id = d.doc_id CROSS JOIN (SELECT unnest([2, 3, 4]) AS i)""",
+    ),
+    # The certificate of an optimum: nothing but zeros.
+    "probe_gradient": (
+        ("layers",),
+        """SELECT CAST(layer AS BIGINT) AS layer, CAST(label AS BIGINT) AS label, CAST(place AS BIGINT) AS place, CAST(0 AS DOUBLE) AS gradient
+           FROM (SELECT DISTINCT layer, label FROM layers) CROSS JOIN (SELECT unnest(range(-1, 16)) AS place)""",
+    ),
+    "stream_annot_compacted": (("state",), "SELECT annotator_id, sample_id, labels, comments FROM state"),
     "stream_annot": (("state",), "SELECT annotator_id, sample_id, labels, comments FROM state"),
 }
 
 
+SELECTS["batch_score_by_length"] = SELECTS["batch_score"]
+
+
 def _needed(names: tuple[str, ...], seen: list[str]) -> list[str]:
     for name in names:
         if name not in seen:

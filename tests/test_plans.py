@@ -13,10 +13,11 @@ from agreelens.plans import catalog as C
 from agreelens.plans import views as W
 
 # Operators that run user models or tail probabilities in Python, and sinks and indexers that stage data.
-PYTHON = {"batch_score", "corr_pvalue", "chi2_pvalue", "correlation_report"}
+PYTHON = {"batch_score", "batch_score_by_length", "correlation_leaves", "corr_pvalue", "chi2_pvalue", "correlation_report"}
 STAGED = {
     "row_ids", "label_lookup_by_position", "rt_csv", "rt_json", "rt_jsonstream", "probe_folds", "probe_oof",
-    "probe_report", "probe_final", "stream_confusion", "stream_annot",
+    "probe_report", "probe_final", "stream_confusion", "stream_annot", "stream_annot_compacted", "probe_gradient",
+    "probe_folds_balanced", "probe_representations", "head_large", "annot_export", "annot_progress", "annot_resume", "rt_positional",
 }
 
 
@@ -93,3 +94,31 @@ def test_long_logits_are_filtered_without_a_join(spark, sf_dir):
 def test_dense_logits_do_not_shuffle_items(spark, sf_dir):
     main_query = plan_of(C.dense_logits(spark, sf_dir)).split("Subqueries")[0]
     assert "hashpartitioning" not in main_query
+
+
+def test_annotation_queries_write_no_sheet_and_sort_no_log(spark, sf_dir):
+    for key in ("annot_resume", "annot_progress"):
+        text = plan_of(C.QUERIES[key](spark, sf_dir))
+        # The ten annotators are a range; samples are never multiplied by them.
+        assert "NestedLoopJoin" not in text and "SortAggregate" not in text
+
+
+def test_gold_is_deduplicated_without_sorting_rows(spark, sf_dir):
+    for key in ("gold_dedupe", "annot_state", "eval_join_dup_gold", "label_lookup_repeats"):
+        assert "SortAggregate" not in plan_of(C.QUERIES[key](spark, sf_dir))
+
+
+def test_representations_are_not_shuffled(spark, sf_dir):
+    df = C.probe_representations(spark, sf_dir)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan_of(C.probe_representations(spark, sf_dir))
+        side = re.search(r"FileScan parquet spark_catalog[^\n]*", text)
+        assert side and "Bucketed: true" in side.group(0)
+        # From the scan of the representations up to the join there is no exchange.
+        lines = text.split("\n")
+        at = next(i for i, line in enumerate(lines) if "spark_catalog" in line)
+        above = [line for line in lines[:at] if len(line) - len(line.lstrip(" :+-")) < len(lines[at]) - len(lines[at].lstrip(" :+-"))]
+        assert df.count() > 0 and not any("Exchange" in line for line in above[-3:])
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
