@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.constants import ANNOTATION_OPTIONS, CHOICE_SEPARATOR, NO_CHOICE, SKIPPED
 from ..functions.text import nonblank, py_strip
 from .joins import splittable_join
-from .latest import matching, order_packs
+from .latest import matching, order_packs, winners
 
 STATE_KEYS = ("annotator_id", "sample_id")
 
@@ -74,23 +74,14 @@ def latest_state(log: DataFrame, order: Sequence[str] = ("ts",), keys: Sequence[
     named = [f"_pack{i}" for i in range(len(packs))]
     rank = F.when(save, 2).when(skip, 1).otherwise(0)
     packed = log.select("*", rank.alias("_rank"), *[p.alias(n) for p, n in zip(packs, named)])
-    narrow = packed.select(*keys, "_rank", *named)
-    best = [F.max(F.when(F.col("_rank") == r, F.col(named[0]))).alias(f"_best{r}") for r in (1, 2)]
-    firsts = narrow.groupBy(*keys).agg(*best).select(
-        *keys,
-        F.when(F.col("_best2").isNotNull(), 2).when(F.col("_best1").isNotNull(), 1).otherwise(0).alias("_rank"),
-        F.coalesce("_best2", "_best1").alias(named[0]),
-    )
-    top = firsts.filter("_rank > 0")
-    for i in range(1, len(named)):
-        by = [*keys, "_rank", *named[:i]]
-        top = matching(narrow, top, by).groupBy(*by).agg(F.max(named[i]).alias(named[i]))
+    # A save beats a skip, and both beat a view, whose order does not matter.
+    top = winners(packed.select(*keys, "_rank", *[F.when(F.col("_rank") > 0, F.col(n)).alias(n) for n in named]), keys, ["_rank", *named])
     entry = F.struct("labels", "comments")
-    won = matching(packed, top, [*keys, "_rank", *named]).select(
+    won = matching(packed, top.filter("_rank > 0"), [*keys, "_rank", *named]).select(
         *keys, F.when(F.col("_rank") == 2, entry).alias("_saved"), F.when(F.col("_rank") == 1, entry).alias("_skipped")
     )
     none = F.lit(None).cast(won.schema["_saved"].dataType)
-    viewed = firsts.filter("_rank = 0").select(*keys, none.alias("_saved"), none.alias("_skipped"))
+    viewed = top.filter("_rank = 0").select(*keys, none.alias("_saved"), none.alias("_skipped"))
     return unpack_state(won.distinct().unionByName(viewed), keys)
 
 
@@ -124,8 +115,17 @@ def labelled_positions(
     done = F.col("labels").isNotNull()
     if resume_compat:
         done = done & (F.col("labels") != NO_CHOICE)
-    rows = state.filter(done).select("annotator_id", *on)
-    return splittable_join(rows, positions.select(*on, "position"), on).select("annotator_id", "position")
+    return _positions_of(state.filter(done).select("annotator_id", *on), positions, on)
+
+
+def labelled_positions_of_log(log: DataFrame, positions: DataFrame, on: Sequence[str] = ("sample_id",)) -> DataFrame:
+    """The same straight from the log: a sample is labelled once it was saved or skipped, whatever came last, so no text is read."""
+    touched = log.filter(F.col("action").isin("save", "skip")).select("annotator_id", *on).distinct()
+    return _positions_of(touched, positions, on)
+
+
+def _positions_of(keys: DataFrame, positions: DataFrame, on: Sequence[str]) -> DataFrame:
+    return splittable_join(keys, positions.select(*on, "position"), on).select("annotator_id", "position")
 
 
 def first_gaps(labelled: DataFrame, annotators: DataFrame) -> DataFrame:

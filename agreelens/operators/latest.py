@@ -1,25 +1,24 @@
 """The last row per key, without sorting or hashing whole rows.
 
-The winning order key is found first, by hash aggregation over fixed-width columns; the rows themselves are read once, as the probe side of a hash join with the
-winners. A sort-based aggregate would sort every payload in each task instead.
+The winning order key is found first, by hash aggregation over columns of one word each; the rows themselves are read once, as the probe side of a
+hash join with the winners. A sort-based aggregate would sort every payload in each task instead.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Bits of order columns that one decimal of 38 digits holds, and of the hash that decides between rows equal in all of them.
-_BITS, _HASH_BITS = 126, 60
-_WIDTHS = {T.BooleanType: 1, T.ByteType: 8, T.ShortType: 16, T.IntegerType: 32, T.DateType: 32, T.LongType: 64, T.TimestampType: 64, T.TimestampNTZType: 64}
+#: Bits that an order column takes of a word; several narrow ones share it.
+_WIDTHS = {T.BooleanType: 2, T.ByteType: 9, T.ShortType: 17, T.IntegerType: 33, T.DateType: 33, T.LongType: 64, T.TimestampType: 64, T.TimestampNTZType: 64}
+_WORD = 63
 
 
-def _number(column: Column, kind: T.DataType) -> Column:
-    """A fixed-width value as a whole number from 0 up; nulls come first, as -1."""
+def _word(column: Column, kind: T.DataType) -> Column:
+    """A value as a long in the same order; null comes first (and equals the least long, for types that fill one)."""
     if isinstance(kind, T.DateType):
         column = F.unix_date(column)
     elif isinstance(kind, T.TimestampNTZType):
@@ -28,37 +27,38 @@ def _number(column: Column, kind: T.DataType) -> Column:
     elif isinstance(kind, T.TimestampType):
         column = F.unix_micros(column)
     width = _WIDTHS[type(kind)]
-    offset = 0 if width == 1 else 1 << (width - 1)
-    return F.coalesce(column.cast("decimal(20,0)") + F.lit(Decimal(offset)), F.lit(Decimal(-1))).cast("decimal(38,0)")
+    if width == 64:
+        return F.coalesce(column.cast("long"), F.lit(-(1 << 63)))
+    # From 1 up, with 0 for null.
+    offset = 1 if isinstance(kind, T.BooleanType) else (1 << (width - 2)) + 1
+    return F.coalesce(column.cast("int").cast("long") + F.lit(offset).cast("long"), F.lit(0).cast("long"))
 
 
 def order_packs(df: DataFrame, order: Sequence[str], first: Column | None = None) -> list[Column]:
-    """Order columns, and a hash of the whole row after them, packed into as few sortable columns as hold them.
+    """Order columns as sortable columns of fixed width, and after them a hash of the whole row.
 
-    Whole numbers, dates and timestamps share decimals, which hash aggregation can update in place; any other type is a column by itself (and strings make the narrow
-    aggregate a sorting one). Where ``first`` holds, order is reversed: the least order key counts as the greatest.
+    Whole numbers, dates and timestamps become longs, narrow ones together. Any other type is a column by itself (and strings make the narrow aggregate
+    a sorting one). Where ``first`` holds, order is reversed: the least order key counts as the greatest.
     """
-    packs, bits, now = [], 0, None
-    hashed = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(1 << _HASH_BITS)).cast("decimal(38,0)")
-    parts = [(F.col(f"`{c}`"), df.schema[c].dataType) for c in order] + [(hashed, None)]
-    for column, kind in parts:
-        if kind is not None and type(kind) not in _WIDTHS:
+    packs: list[Column] = []
+    bits, now = _WORD, None
+    for c in order:
+        kind = df.schema[c].dataType
+        if type(kind) not in _WIDTHS:
             if first is not None:
                 raise ValueError(f"order columns must be whole numbers, dates or timestamps, not {kind.simpleString()}")
-            packs += [] if now is None else [now]
-            packs.append(column)
-            bits, now = 0, None
+            packs, bits, now = packs + ([] if now is None else [now]) + [F.col(f"`{c}`")], _WORD, None
             continue
-        width, value = (_HASH_BITS, hashed) if kind is None else (_WIDTHS[type(kind)] + 1, _number(column, kind))
-        if first is not None:
-            value = F.when(first, -value).otherwise(value)
-        if now is None or bits + width > _BITS:
+        width, value = _WIDTHS[type(kind)], _word(F.col(f"`{c}`"), kind)
+        if now is not None and bits + width <= _WORD:
+            bits, now = bits + width, F.shiftleft(now, width) + value
+        else:
             packs += [] if now is None else [now]
             bits, now = width, value
-        else:
-            bits, now = bits + width, (now * F.lit(Decimal(1 << width)).cast("decimal(38,0)")).cast("decimal(38,0)") + value
-            now = now.cast("decimal(38,0)")
-    return packs + [now]
+    packs += [] if now is None else [now]
+    packs.append(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+    # The complement turns the order of all longs around, the least one included.
+    return packs if first is None else [F.when(first, F.bitwise_not(p)).otherwise(p) for p in packs]
 
 
 def matching(left: DataFrame, top: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -74,12 +74,17 @@ def matching(left: DataFrame, top: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def winners(narrow: DataFrame, keys: Sequence[str], packs: Sequence[str]) -> DataFrame:
-    """``keys`` and the greatest ``packs`` of each, compared one after the other; one hash aggregate per pack."""
-    top = narrow.groupBy(*keys).agg(F.max(packs[0]).alias(packs[0]))
-    for i in range(1, len(packs)):
-        by = [*keys, *packs[:i]]
-        top = matching(narrow, top, by).groupBy(*by).agg(F.max(packs[i]).alias(packs[i]))
-    return top
+    """``keys`` and the greatest ``packs`` of each, compared one after the other.
+
+    The greatest first pack of a key combines partially and leaves few rows. Among these, from the last pack to the second, each hash aggregate
+    keeps, per value of the packs before, the greatest of its own and what follows it. So a hot key is never gathered.
+    """
+    head = narrow.groupBy(*keys).agg(F.max(packs[0]).alias(packs[0]))
+    top = matching(narrow, head, [*keys, packs[0]])
+    for i in range(len(packs) - 1, 0, -1):
+        later = [F.max_by(p, packs[i]).alias(p) for p in packs[i + 1 :]]
+        top = top.groupBy(*keys, *packs[:i]).agg(F.max(packs[i]).alias("_greatest"), *later).withColumnRenamed("_greatest", packs[i])
+    return top.select(*keys, *packs)
 
 
 def last_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

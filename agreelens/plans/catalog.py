@@ -117,7 +117,7 @@ def sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
 def open_positions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Column]:
     """Labelled positions, annotators and number of samples, for resume and progress; no sheet is written out."""
     positions = with_row_index(W.samples(spark, sf_dir), ["sample_id"], "position")
-    labelled = A.labelled_positions(annotation_state(spark, sf_dir), positions)
+    labelled = A.labelled_positions_of_log(W.annotation_log(W.table(spark, sf_dir, "events")), positions)
     annotators = spark.range(ANNOTATORS).select(F.col("id").alias("annotator_id"))
     return labelled, annotators, positions.agg(F.count(F.lit(1)).alias("n")).scalar()
 

@@ -70,7 +70,10 @@ def test_resume_and_progress_without_a_sheet(spark, state):
         got = {r["annotator_id"]: r["resume_at"] for r in A.resume_positions(labelled, annotators, F.lit(7)).collect()}
         assert got == {r["annotator_id"]: r["resume_at"] for r in A.resume_position(sheet, resume_compat=compat).collect()}
         assert (got["c"], got["d"], got["e"], got["f"], got["g"]) == (0, 0, 3, 0, 0)
+    logs = spark.createDataFrame(LOG, SCHEMA).unionByName(spark.createDataFrame(log, SCHEMA).withColumn("sample_id", F.col("sample_id") / 10))
+    logs = logs.withColumn("sample_id", (F.col("sample_id") * 10).cast("bigint"))
     labelled = A.labelled_positions(both, positions)
+    assert sorted(map(tuple, A.labelled_positions_of_log(logs, positions).collect())) == sorted(map(tuple, labelled.collect()))
     got = sorted(map(tuple, A.progress_by_annotator(labelled, annotators, F.lit(7).cast("bigint")).collect()))
     assert got == sorted(map(tuple, A.progress(sheet).collect()))
     # No row per sample and annotator is made, and nothing is sorted.
