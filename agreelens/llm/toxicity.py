@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
@@ -103,7 +103,7 @@ class ExampleIndex:
         self.best = np.maximum.reduceat(weights, self.starts, axis=1) if n else np.zeros((len(self.idf), 0))
 
     def nearest(self, terms: list[int], k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the ``k`` nearest examples: blocks by falling bound until no bound reaches the k-th best."""
+        """Places and cosines of the ``k`` nearest examples, and of those that tie with the last: blocks by falling bound until none reaches it."""
         idf = self.idf[terms]
         q = idf / np.sqrt((idf**2).sum())
         bound = q @ self.best[terms]
@@ -121,8 +121,10 @@ class ExampleIndex:
             found = (q * idf) @ self.holds[np.ix_(terms, rows)] / self.norms[rows]
             places, cosines = np.concatenate([places, rows]), np.concatenate([cosines, found])
             at, width = at + width, width * 4
-        top = np.lexsort((places, -cosines))[:k]
-        top = top[cosines[top] > 0]
+        top = np.lexsort((places, -cosines))
+        # All that tie with the k-th vote: their order in the index decides nothing.
+        last = cosines[top[k - 1]] if len(top) > k else 0.0
+        top = top[(cosines[top] > 0) & (cosines[top] >= last - 1e-12)]
         return places[top], cosines[top]
 
     def score(self, terms: list[int], k: int) -> tuple[float, list[dict]]:
@@ -157,7 +159,7 @@ def toxicity_scores(
     Learned from a bounded sample: at most ``max_examples`` labelled rows outside the held-out fifth, half of them of each
     class, by hash of the id; each votes for as many labelled rows as it stands for. From their terms, the ``max_terms`` most typical of
     toxic examples form the vocabulary. The terms' document frequencies are counted over all documents. A text gets
-    the votes of its ``k`` nearest examples by TF-IDF cosine, weighted by squared cosine, with a small prior; the nearest
+    the votes of its ``k`` nearest examples by TF-IDF cosine (and of those as near as the last), weighted by squared cosine, with a small prior; the nearest
     three are its evidence. The search is exact: a block of examples is skipped only if the sum of its largest term
     weights cannot reach the k-th best cosine.
 
@@ -201,10 +203,11 @@ def toxicity_scores(
     idf = np.log((n_docs + 1) / (df + 1)) + 1
     examples = vectors.join(sample, "doc_id").groupBy("doc_id", "toxic").agg(F.min("terms").alias("terms"))
     index = ExampleIndex.build([(r["doc_id"], r["toxic"], r["terms"]) for r in examples.collect()], idf, per_class)
-    shared = spark.sparkContext.broadcast(index)  # at most max_terms x max_examples bytes
+    # At most max_terms x max_examples bytes, as plain arrays: workers need not have this package.
+    shared = spark.sparkContext.broadcast(tuple(getattr(index, f.name) for f in fields(index)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        own = ExampleIndex(*shared.value)
         own.prepare()
         seen: dict[tuple[int, ...], tuple[float, list[dict]]] = {}
         for batch in batches:
