@@ -96,7 +96,9 @@ def scan_secrets(
     each = each.withColumn("key", F.sha2(F.col("hit.value"), 256))
     owners = each.select("key", "owner").distinct().groupBy("key").agg(F.count("*").alias("owners"))
     repositories = each.select("key", "repository").distinct().groupBy("key").agg(F.count("*").alias("repositories"))
-    each = each.join(owners.join(repositories, "key"), "key")
+    # Written first, so that both sides of the next join are read straight from a shuffle and a hot key's rows can be split.
+    spread = staged(owners.join(repositories, "key"), "secret-spread")
+    each = each.join(spread, "key")
     owned = (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories)
     added = F.when(owned & (F.col("hit.kind") == MIXED), F.col("hit"))
     judged = each.groupBy("row").agg(

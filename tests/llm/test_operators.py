@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from agreelens.llm import knn, line_dedup, mixing, near_dedup, packing, quality, secrets, substrings, token_counts, toxicity
@@ -353,6 +354,25 @@ def test_secrets_are_placed_by_code_points(docs):
     assert [(s["start"], s["end"]) for s in rows[15]["base_spans"]] == [(0, 16), (18, 33)]
 
 
+def test_a_hot_secret_can_be_split(spark):
+    """One candidate stands in a third of all documents: the join with its counts reads both sides from a shuffle of their own."""
+    rows = spark.range(0, 600, 1, 4).select(
+        F.col("id").alias("doc_id"), F.concat(F.lit("x "), F.when(F.col("id") % 3 == 0, F.lit("Ab1" * 12)).otherwise(F.concat(F.lit("Zz9" * 11), F.col("id")))).alias("text"),
+        F.concat(F.lit("o"), F.col("id")).alias("source"),
+    )
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = secrets.scan_secrets(rows)
+        assert found.agg(F.sum("n_copied"), F.sum("n_owned")).head() == (200, 400)
+        text = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # Below the join by key: on either side a sort, an exchange, and then no aggregate before the scan of a staged table.
+    joins = [i for i, line in enumerate(text.split("\n")) if "SortMergeJoin [key" in line]
+    below = "\n".join(text.split("\n")[joins[-1] :])
+    assert joins and below.count("Exchange hashpartitioning(key") == 2 and "HashAggregate" not in below
+
+
 def test_widely_copied_candidates_are_no_added_secrets(spark):
     live, copied = "Ab1" * 12, "Xy9" * 12
     rows = [(0, f"é {live} {copied}", "a")] + [(i, f"see {copied}", f"o{i}") for i in range(1, 6)]
@@ -413,7 +433,9 @@ def test_block_bounds_lose_no_neighbour():
         q = np.zeros(40)
         q[terms] = idf[terms]
         cosines = (q @ (index.holds * idf[:, None])) / index.norms / np.linalg.norm(q)
-        assert np.allclose(index.nearest(terms, 15)[1], np.sort(cosines)[::-1][:15])
+        last = np.sort(cosines)[::-1][min(15, len(cosines)) - 1]
+        want = np.sort(cosines[(cosines > 0) & (cosines >= last - 1e-12)])[::-1]
+        assert np.allclose(index.nearest(terms, 15)[1], want)
 
 
 def test_word_hashes_forget_but_agree():
