@@ -230,6 +230,19 @@ def rt_jsonstream(spark, sf_dir):
     return _fingerprint(json_stream.read_json_objects(spark, path, schema, on_bad="fail"))
 
 
+@register
+def rt_jsonstream_mixed(spark, sf_dir):
+    """The same texts as objects over several lines, on one line, and with Windows line ends, in one stream."""
+    path = shared_dir(spark, "rt-jsonstream-mixed")
+    options = {"ignoreNullFields": "false"}
+    indented, plain = F.to_json(F.struct("*"), options | {"pretty": "true"}), F.to_json(F.struct("*"), options)
+    kind = F.col("doc_id") % 3
+    line = F.when(kind == 0, indented).when(kind == 1, plain).otherwise(F.concat(plain, F.lit("\r")))
+    _texts(spark, sf_dir).select(line.alias("value")).write.text(path)
+    schema = "doc_id bigint, lang string, source string, text string"
+    return _fingerprint(json_stream.read_json_objects(spark, path, schema, on_bad="fail"))
+
+
 # ------------------------------------------------------------------------------------ votes
 
 

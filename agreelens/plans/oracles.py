@@ -412,6 +412,7 @@ SELECTS: dict[str, tuple[tuple[str, ...], str]] = {
     "rt_csv": (("texts",), _TEXTS),
     "rt_json": (("texts",), _TEXTS),
     "rt_jsonstream": (("texts",), _TEXTS),
+    "rt_jsonstream_mixed": (("texts",), _TEXTS),
     "votes_parse": (
         ("votes", "items", "lenient", "kept"),
         """SELECT i.item_id, CASE WHEN i.item_id % 101 = 0 THEN 0 ELSE v.n END AS strict_count,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -39,12 +40,31 @@ def local_session(name: str, cpus: int | str = "*", shuffle_partitions: int = 8,
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir`` for staged tables.
 
-    Without that setting only a local master may fall back to a temporary folder: on a cluster the
-    executors do not share the driver's disk.
+    Without that setting only a local master may fall back to a temporary folder: on a cluster, a local one of several processes included, the
+    executors need not share the driver's disk. ``remove_staged`` removes what a session has staged.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    return os.path.join(_staged_root(spark), purpose, uuid.uuid4().hex)
+
+
+_LOCAL_ROOTS: dict[str, str] = {}
+
+
+def _staged_root(spark: SparkSession) -> str:
+    """One folder per application, so that its staged tables can go as one."""
+    root, app = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.applicationId
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-        root = tempfile.mkdtemp(prefix="agreelens-")
-    return os.path.join(root, "agreelens", purpose, uuid.uuid4().hex)
+        if app not in _LOCAL_ROOTS:
+            _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="agreelens-")
+        root = _LOCAL_ROOTS[app]
+    return os.path.join(root, "agreelens", app)
+
+
+def remove_staged(spark: SparkSession) -> bool:
+    """Remove every table that this application has staged; whether there was any.
+
+    Results that read staged tables lazily have to be written or collected before. Any file system that Spark can write to will do.
+    """
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_staged_root(spark))
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -66,69 +67,56 @@ def _split_indented(spark: SparkSession, path, schema: T.StructType) -> DataFram
     )
     # Inside brackets a second object is a parse error instead of being passed over.
     alone = F.from_json(F.concat(F.lit("["), F.col("_json"), F.lit("]")), T.ArrayType(schema))
-    single = F.coalesce(F.size(alone) == 1, F.lit(False))
-    whole = chunks.filter(single).select("_json", "_file", "_start", "_pos", F.lit(0).cast("long").alias("_sub"))
-    return whole.union(chunks.filter(~single).mapInPandas(_decode_chunks, _PLACED))
+    flagged = chunks.withColumn("_single", F.coalesce(F.size(alone) == 1, F.lit(False)))
+    # One pass: only what is not exactly one object reaches the decoder, as the others go there as NULL.
+    odd = [F.when(~F.col("_single"), F.col(c)) for c in ("_value", "_json")]
+    pieces = F.when(F.col("_single"), F.array("_json")).otherwise(_decoded(*odd))
+    return flagged.select(F.posexplode(pieces).alias("_sub", "_json"), "_file", "_start", "_pos")
 
 
-_PLACED = "_json string, _file string, _start bigint, _pos bigint, _sub bigint"
-
-
-def _objects(text: str) -> tuple[list[str], bool]:
-    """The objects in a text, and whether all of it could be read; an unreadable rest is the last of them."""
-    decoder, out, at = json.JSONDecoder(), [], 0
+def _objects(text: str) -> Iterator[tuple[str, bool]]:
+    """The objects of a text, one after the other; what cannot be read is handed on as one last piece, marked False."""
+    decoder, at = json.JSONDecoder(), 0
     while True:
         while at < len(text) and text[at].isspace():
             at += 1
         if at >= len(text):
-            return out, True
+            return
         try:
             _, end = decoder.raw_decode(text, at)
         except ValueError:
-            return [*out, text[at:]], False
-        out.append(text[at:end])
+            # Nothing after the damage can be told apart.
+            yield text[at:], False
+            return
+        yield text[at:end], True
         at = end
 
 
-def _decode_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for row in batch.itertuples(index=False):
-            # Whether the separator took a brace from this chunk cannot be seen; the reading without damage is right.
-            value, closed, file, start, pos = row[1], row[0], row[2], row[3], row[4]
-            plain, readable = _objects(value)
-            found = plain if readable else _objects(closed)[0]
-            yield pd.DataFrame({"_json": found, "_file": file, "_start": start, "_pos": pos, "_sub": range(len(found))})
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _decoded(value: pd.Series, closed: pd.Series) -> pd.Series:
+    """Objects of each chunk. Whether the separator took a brace from it cannot be seen; the reading without damage is right."""
+
+    def pieces(plain: str | None, with_brace: str | None) -> list[str] | None:
+        if plain is None:
+            return None
+        found = list(_objects(plain))
+        return [o for o, _ in (found if all(ok for _, ok in found) else _objects(with_brace))]
+
+    return pd.Series([pieces(v, c) for v, c in zip(value, closed)], dtype=object)
 
 
 def _decode_files(spark: SparkSession, path) -> DataFrame:
     files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("_file"))
 
-    columns = ["_json", "_file", "_start", "_pos", "_sub"]
-
     def objects(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        decoder = json.JSONDecoder()
         for batch in batches:
             for text, file in zip(batch["value"], batch["_file"]):
-                rows, at, place = [], 0, 0
-                while True:
-                    while at < len(text) and text[at].isspace():
-                        at += 1
-                    if at >= len(text):
-                        break
-                    try:
-                        _, end = decoder.raw_decode(text, at)
-                    except ValueError:
-                        # Nothing after the damage can be told apart; hand on the rest as one bad record.
-                        end = len(text)
-                    rows.append((text[at:end], file, 0, 0, place))
-                    at, place = end, place + 1
-                    if len(rows) >= 10_000:
-                        yield pd.DataFrame(rows, columns=columns)
-                        rows = []
-                if rows:
-                    yield pd.DataFrame(rows, columns=columns)
-
-    return files.mapInPandas(objects, _PLACED)
+                numbered = enumerate(o for o, _ in _objects(text))
+                while rows := list(islice(numbered, 10_000)):
+                    place, found = zip(*rows)
+                    yield pd.DataFrame({"_sub": place, "_json": found, "_file": file, "_start": 0, "_pos": 0})
+
+    return files.mapInPandas(objects, "_sub int, _json string, _file string, _start bigint, _pos bigint")
 
 
 def _until_damage(raw: DataFrame, schema: T.StructType) -> DataFrame:

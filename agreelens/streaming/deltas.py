@@ -36,36 +36,40 @@ def run_deltas(stream: DataFrame, path: str, checkpoint: str, mode: str = "appen
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def _read(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-        return None
+def _finished(spark: SparkSession, path: str) -> list[int]:
+    """Batches whose delta is wholly written, by Spark's own marker: a trigger in flight, or one that died, has none."""
+    pattern = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/deltas/batch_id=*/_SUCCESS")
+    found = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern)
+    return sorted(int(s.getPath().getParent().getName().removeprefix("batch_id=")) for s in found or ())
 
 
 def last_commit(spark: SparkSession, path: str) -> tuple[str, int] | None:
     """The newest base and the last batch in it. Commits are one row per compaction."""
-    commits = _read(spark, f"{path}/commits")
-    row = None if commits is None else commits.orderBy(F.desc("through"), F.desc("written"), "base").head()
+    try:
+        commits = spark.read.schema(COMMIT).parquet(f"{path}/commits")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    row = commits.orderBy(F.desc("through"), F.desc("written"), "base").head()
     return None if row is None else (row["base"], row["through"])
 
 
-def _parts(spark: SparkSession, path: str) -> tuple[DataFrame | None, DataFrame | None]:
-    """Base rows, as of their last batch, and later deltas."""
-    commit, deltas = last_commit(spark, path), _read(spark, f"{path}/deltas")
-    if commit is None:
-        return None, deltas
-    base = spark.read.parquet(f"{path}/base/{commit[0]}").withColumn("batch_id", F.lit(commit[1]))
-    if deltas is not None:
-        deltas = deltas.withColumn("batch_id", F.col("batch_id").cast("bigint")).filter(F.col("batch_id") > commit[1])
-    return base, deltas
+def _parts(spark: SparkSession, path: str) -> tuple[DataFrame | None, DataFrame | None, int]:
+    """Base rows, as of their last batch, the finished deltas after it, and the last batch of all."""
+    commit = last_commit(spark, path)
+    through = -1 if commit is None else commit[1]
+    base = None if commit is None else spark.read.parquet(f"{path}/base/{commit[0]}").withColumn("batch_id", F.lit(through))
+    later = [n for n in _finished(spark, path) if n > through]
+    if not later:
+        return base, None, through
+    deltas = spark.read.option("basePath", f"{path}/deltas").parquet(*[f"{path}/deltas/batch_id={n}" for n in later])
+    return base, deltas.withColumn("batch_id", F.col("batch_id").cast("bigint")), later[-1]
 
 
 def read_table(spark: SparkSession, path: str, fold: Fold) -> DataFrame:
     """The table as of the last finished trigger."""
-    base, deltas = _parts(spark, path)
+    base, deltas, _ = _parts(spark, path)
     rows = deltas if base is None else base if deltas is None else base.unionByName(deltas)
     if rows is None:
         raise ValueError(f"no batch has been written below {path}")
@@ -75,16 +79,11 @@ def read_table(spark: SparkSession, path: str, fold: Fold) -> DataFrame:
 def compact(spark: SparkSession, path: str, fold: Fold) -> str | None:
     """Fold base and deltas into a new base; returns its name, or None if there was nothing to fold.
 
-    May run beside the stream: the deltas that it reads are those of finished batches up to the number it commits. Only a trigger in flight must not be counted, so
-    the commit names the last batch that was complete when the compaction began.
+    May run beside the stream: only finished deltas are folded, and the commit names the last of them.
     """
-    base, deltas = _parts(spark, path)
+    base, deltas, through = _parts(spark, path)
     if deltas is None:
         return None
-    through = deltas.agg(F.max("batch_id")).head()[0]
-    if through is None:
-        return None
-    deltas = deltas.filter(F.col("batch_id") <= through)
     name = uuid.uuid4().hex
     fold(deltas if base is None else base.unionByName(deltas)).write.parquet(f"{path}/base/{name}")
     row = spark.range(1).select(F.lit(name).alias("base"), F.lit(through).cast("bigint").alias("through"), F.current_timestamp().alias("written"))
@@ -98,7 +97,6 @@ def retired(spark: SparkSession, path: str) -> list[str]:
     commit = last_commit(spark, path)
     if commit is None:
         return []
-    bases = spark.read.parquet(f"{path}/commits").filter(F.col("base") != commit[0]).select("base").distinct().collect()
-    deltas = _read(spark, f"{path}/deltas")
-    old = [] if deltas is None else deltas.filter(F.col("batch_id") <= commit[1]).select("batch_id").distinct().collect()
-    return [f"{path}/base/{r['base']}" for r in bases] + [f"{path}/deltas/batch_id={r['batch_id']}" for r in old]
+    bases = spark.read.schema(COMMIT).parquet(f"{path}/commits").filter(F.col("base") != commit[0]).select("base").distinct().collect()
+    old = [n for n in _finished(spark, path) if n <= commit[1]]
+    return [f"{path}/base/{r['base']}" for r in bases] + [f"{path}/deltas/batch_id={n}" for n in old]

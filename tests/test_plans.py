@@ -15,7 +15,7 @@ from agreelens.plans import views as W
 # Operators that run user models or tail probabilities in Python, and sinks and indexers that stage data.
 PYTHON = {"batch_score", "batch_score_by_length", "correlation_leaves", "corr_pvalue", "chi2_pvalue", "correlation_report"}
 STAGED = {
-    "row_ids", "label_lookup_by_position", "rt_csv", "rt_json", "rt_jsonstream", "probe_folds", "probe_oof",
+    "row_ids", "label_lookup_by_position", "rt_csv", "rt_json", "rt_jsonstream", "rt_jsonstream_mixed", "probe_folds", "probe_oof",
     "probe_report", "probe_final", "stream_confusion", "stream_annot", "stream_annot_compacted", "probe_gradient",
     "probe_folds_balanced", "probe_representations", "head_large", "annot_export", "annot_progress", "annot_resume", "rt_positional",
 }

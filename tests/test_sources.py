@@ -5,6 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from agreelens import session
 from agreelens.functions.constants import VOTES_COLUMN
 from agreelens.operators import prompts as PR
 from agreelens.sources import checks, json_stream, sinks, tables
@@ -164,6 +165,22 @@ def test_first_rows(spark):
     assert [r["id"] for r in first_rows(df, 3, ["id"]).collect()] == [0, 1, 2]
 
 
+def test_staged_tables_go_as_one(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "_staged_root", lambda _: str(tmp_path / "root"))
+    for purpose in ("a", "a", "b"):
+        spark.range(3).write.parquet(session.shared_dir(spark, purpose))
+    assert len(list((tmp_path / "root").glob("*/*"))) == 3
+    assert session.remove_staged(spark) and not (tmp_path / "root").exists()
+    assert not session.remove_staged(spark)
+
+
+def test_json_objects_are_read_in_one_pass(spark, tmp_path):
+    (tmp_path / "s.jsonl").write_text('{\n  "a" : 1\n}\n{"a": 2}\r\n{"a": 3} {"a": 4}\n{\n  "a" : 5\n}\n')
+    df = json_stream.read_json_objects(spark, str(tmp_path / "s.jsonl"), "a int", on_bad="fail")
+    assert sorted(r["a"] for r in df.collect()) == [1, 2, 3, 4, 5]
+    assert df._jdf.queryExecution().executedPlan().toString().count("FileScan text") == 1
+
+
 @pytest.mark.parametrize("n", [0, 1, 1500, 9_000, 10_000, 20_000])
 def test_first_rows_selected_by_ranges(spark, n):
     # Half of all rows tie on the order column.

@@ -1,5 +1,6 @@
 import json
 import shutil
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -88,6 +89,9 @@ def test_compaction_between_batches_and_restarts(spark, tmp_path):
     # A batch that is replayed after a base contains it is not read again.
     replayed = spark.createDataFrame([("a0", 0, "wrong", None)], "annotator_id string, sample_id bigint, labels string, comments string")
     deltas.write_delta(replayed, out, 0)
+    # A delta that is half written has no marker yet.
+    replayed.write.parquet(f"{out}/deltas/batch_id=999")
+    (Path(out) / "deltas" / "batch_id=999" / "_SUCCESS").unlink()
     arrive(4)
     for folder in deltas.retired(spark, out):
         shutil.rmtree(folder)
