@@ -7,12 +7,16 @@ from collections.abc import Iterator
 from itertools import islice
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 CORRUPT = "_corrupt_record"
 _ON_BAD = ("null", "drop", "fail", "stop")
+# Between objects only: no control character may stand in JSON text, and Python's decoder takes this one for a blank.
+_BETWEEN = "\x1e"
+# What Python's decoder takes, too.
+_STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 
 
 def read_json_objects(
@@ -27,7 +31,8 @@ def read_json_objects(
     ``style="indented"``: every object closes with a brace in the first column, as pretty-printing writers
     produce. That line is used as the record separator, so large files are split between tasks. A chunk that is not exactly
     one object (one-line objects, Windows line ends, mixed or damaged files) is decoded object by object, so none is
-    lost; such a file is one chunk, and so one task, where it has no separator.
+    lost; such a file is one chunk, and so one task, where it has no separator. Objects that start on lines of their own
+    are told apart by Spark; Python decodes the chunks with damage or with several objects on a line, a hundred at a time.
     ``style="any"``: objects on one line or many, with any spacing; each file is decoded by one task.
 
     ``on_bad``: "null" keeps a damaged object as a row of NULLs, "drop" leaves it out, "fail" stops the job,
@@ -68,10 +73,31 @@ def _split_indented(spark: SparkSession, path, schema: T.StructType) -> DataFram
     # Inside brackets a second object is a parse error instead of being passed over.
     alone = F.from_json(F.concat(F.lit("["), F.col("_json"), F.lit("]")), T.ArrayType(schema))
     flagged = chunks.withColumn("_single", F.coalesce(F.size(alone) == 1, F.lit(False)))
-    # One pass: only what is not exactly one object reaches the decoder, as the others go there as NULL.
-    odd = [F.when(~F.col("_single"), F.col(c)) for c in ("_value", "_json")]
-    pieces = F.when(F.col("_single"), F.array("_json")).otherwise(_decoded(*odd))
-    return flagged.select(F.posexplode(pieces).alias("_sub", "_json"), "_file", "_start", "_pos")
+    # The separator took a brace or it did not: at most one of the readings is whole.
+    lines = F.coalesce(_on_own_lines(F.col("_json")), _on_own_lines(F.col("_value")))
+    split = flagged.withColumn("_lines", F.when(F.col("_single"), F.array("_json")).otherwise(lines))
+    # One pass: only chunks that are still whole reach the decoder, as the others go there as NULL.
+    pieces = F.coalesce("_lines", _decoded(F.when(F.col("_lines").isNull(), F.col("_value"))))
+    return split.select(F.posexplode(pieces).alias("_sub", "_json"), "_file", "_start", "_pos")
+
+
+def _on_own_lines(text: Column) -> Column:
+    """The objects of a text, if each starts a line of its own and all are undamaged; else NULL."""
+
+    def objects(*parts: Column | str) -> Column:
+        array = F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+        return F.size(F.from_json(array, T.ArrayType(T.StructType()), _STRICT))
+
+    def whole(piece: Column) -> Column:
+        # Exactly one: a closing bracket of its own would hide what follows it, the second object included.
+        exact = (objects("[", piece, "]") == 1) & (objects("[", piece, ",{}]") == 2)
+        bare = F.startswith(piece, F.lit("{")) & F.endswith(piece, F.lit("}"))
+        return F.coalesce(bare & exact, F.lit(False))
+
+    for line_end in ("\r\n", "\n"):
+        text = F.replace(text, F.lit(line_end + "{"), F.lit(_BETWEEN + "{"))
+    # In an array of one, the pieces are made once for the test and the result.
+    return F.get(F.filter(F.array(F.split(text, _BETWEEN)), lambda pieces: F.forall(pieces, whole)), F.lit(0))
 
 
 def _objects(text: str) -> Iterator[tuple[str, bool]]:
@@ -92,17 +118,18 @@ def _objects(text: str) -> Iterator[tuple[str, bool]]:
         at = end
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _decoded(value: pd.Series, closed: pd.Series) -> pd.Series:
-    """Objects of each chunk. Whether the separator took a brace from it cannot be seen; the reading without damage is right."""
-
-    def pieces(plain: str | None, with_brace: str | None) -> list[str] | None:
-        if plain is None:
-            return None
-        found = list(_objects(plain))
-        return [o for o, _ in (found if all(ok for _, ok in found) else _objects(with_brace))]
+@F.udf(T.ArrayType(T.StringType()), useArrow=False)
+def _decoded(value: str | None) -> list[str] | None:
+    """Objects of a chunk. Whether the separator took a brace from it cannot be seen; the reading without damage is right.
 
-    return pd.Series([pieces(v, c) for v, c in zip(value, closed)], dtype=object)
+    Not by Arrow: its batches hold thousands of chunks, and several copies of them in Python.
+    """
+    if value is None:
+        return None
+    found = list(_objects(value))
+    if not all(ok for _, ok in found):
+        found = _objects(value if value.endswith("\n}") else value + "\n}")
+    return [o for o, _ in found]
 
 
 def _decode_files(spark: SparkSession, path) -> DataFrame:

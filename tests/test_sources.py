@@ -261,3 +261,21 @@ def test_label_lookup_takes_the_last_of_repeated_ids(spark):
     labels = spark.createDataFrame([(1, 7, "old"), (1, 9, "new"), (2, 1, "x"), (2, 2, None)], "idx int, row_id int, label string")
     got = tables.label_lookup(items, labels, order=["row_id"]).collect()
     assert sorted((r["idx"], r["label"] or "") for r in got) == [(1, "new"), (2, ""), (3, "")]
+
+
+def test_objects_on_own_lines_are_told_apart_without_python(spark, tmp_path):
+    texts = [
+        ('{"a": 1}\n{"a": "}\\n{]"}\r\n{\n "a": [\n  {},\n  {}\n ]\n}', 3),
+        ('{"a": 1}\n{\n"a": 2', None), ('{"a": 1}\n{"a": 2}] }', None), ('{"a": 1}\n{"a": 2},{} ] }', None), ('{"a": 1}\n{"a": 2} {"a": 3}', None),
+        ("{\"a\": 1}\n{'a': 2}", None),
+    ]
+    df = spark.createDataFrame(texts, "text string, n int").withColumn("found", json_stream._on_own_lines(F.col("text")))
+    for r in df.collect():
+        assert (r["found"] and len(r["found"])) == r["n"], r["text"]
+        assert r["found"] is None or [list(json.loads(o)) for o in r["found"]] == [["a"]] * r["n"]
+    # What is left for Python does not go there in Arrow's batches of thousands of chunks.
+    (tmp_path / "s.json").write_text('{"a": 1}\n{"a": 2} {"a": 3}\n{\n "a": 4\n}\n{"a": 5}\r\n{\n "a": 6\n}\n')
+    read = json_stream.read_json_objects(spark, str(tmp_path / "s.json"), "a int", on_bad="fail")
+    assert sorted(r["a"] for r in read.collect()) == [1, 2, 3, 4, 5, 6]
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
