@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,21 +36,27 @@ def write_json_objects(df: DataFrame, path: str, mode: str = "errorifexists") ->
 
 
 def write_json_arrays(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Part files that are each one valid JSON array; rows stream through, nothing is gathered."""
+    """Part files that are each one valid JSON array; rows stream through, nothing is gathered.
 
-    def as_array(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        opener = "["
+    Texts stay in Arrow's buffers, whose size Spark bounds: as Python strings a batch would be there in several copies, and
+    a single wide character makes a text four times as large.
+    """
+
+    def as_array(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opener, kind = "[", pa.string()
         for batch in batches:
-            lines = []
-            for value in batch["value"]:
-                lines.append(opener + value)
+            kind = batch.schema.field(0).type
+            for start in range(0, batch.num_rows, 100):
+                rows = batch.column(0).slice(start, 100)
+                before = pa.array([opener] + [","] * (len(rows) - 1), kind)
+                yield pa.record_batch([pc.binary_join_element_wise(before, rows, pa.scalar("", kind))], ["value"])
                 opener = ","
-            if lines:
-                yield pd.DataFrame({"value": lines})
-        yield pd.DataFrame({"value": ["]" if opener == "," else "[]"]})
+            # Not kept while the next one is read.
+            batch = rows = None
+        yield pa.record_batch([pa.array(["]" if opener == "," else "[]"], kind)], ["value"])
 
     text = F.to_json(F.struct("*"), {"ignoreNullFields": "false"})
-    df.select(text.alias("value")).mapInPandas(as_array, "value string").write.mode(mode).text(path)
+    df.select(text.alias("value")).mapInArrow(as_array, "value string").write.mode(mode).text(path)
 
 
 def write_partitioned(df: DataFrame, path: str, by: Sequence[str], mode: str = "errorifexists") -> None:

@@ -279,3 +279,18 @@ def test_objects_on_own_lines_are_told_apart_without_python(spark, tmp_path):
     assert sorted(r["a"] for r in read.collect()) == [1, 2, 3, 4, 5, 6]
     plan = read._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
+
+
+def test_json_arrays_leave_texts_in_arrow_buffers(spark, tmp_path, monkeypatch):
+    df = spark.range(0, 700, 1, 3).select("id", F.when(F.col("id") % 5 > 0, F.repeat(F.lit("é😀,]\n"), F.col("id").cast("int"))).alias("t"))
+    with_empty_task = df.filter((F.col("id") < 200) | (F.col("id") > 500))
+    # No batch of texts becomes Python strings.
+    monkeypatch.setattr(type(df), "mapInPandas", None)
+    for name, most, source in (("a", "10000", df), ("b", "130", with_empty_task)):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+        try:
+            sinks.write_json_arrays(source, str(tmp_path / name))
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        parts = [json.loads(p.read_text()) for p in (tmp_path / name).glob("part-*")]
+        assert len(parts) == 3 and sorted((r["id"], r["t"] or "") for part in parts for r in part) == sorted((r["id"], r["t"] or "") for r in source.collect())
